@@ -21,4 +21,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN pos USING (uid) LEFT JOIN ids USING (uid)
 """
 
-ORACLES = {"op7_winnowing_decontamination": OP7}
+_ESC = r"regexp_replace({}, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')"
+_ROW = "role || chr(10) || txt || chr(10)"
+
+OP10 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg({_ROW}, '' ORDER BY turn NULLS FIRST, role, txt)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(txt) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN txt END, '' ORDER BY turn NULLS FIRST, role, txt), '')) AS loss_sha256,
+  CAST(sum(length({_ESC.format('role')}) + length({_ESC.format('txt')}) + length('<s>[INST][/INST]</s>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+ORACLES = {"op7_winnowing_decontamination": OP7, "op10_chat_round_trip": OP10}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import winnow
+from . import bagminhash, byteconv, chat, edit_embedding, hash_tree, text, winnow
 from .frames import table
 
 
@@ -14,4 +14,30 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                          F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op7_winnowing_decontamination,)}
+def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.assign(table(spark, sf_dir, "documents"))
+
+
+def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    text.small_batches(spark)
+    guess = byteconv.predict("text", byteconv.fit(documents))
+    return documents.select("doc_id", byteconv.held_out().alias("held_out"), guess.alias("guess")).select(
+        "doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
+
+
+def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.probe(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_edit_embedding, op2_weighted_hash_tree, op4_bagminhash, op5_byte_convolution, op7_winnowing_decontamination, op10_chat_round_trip,
+)}
