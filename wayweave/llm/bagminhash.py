@@ -11,12 +11,8 @@ component of their document, so the work is about M log M points and one point
 for each shingle, whatever the weights.
 
 Classes. Equal texts are folded first. Signatures are cut into BANDS bands of
-ROWS components; in each bucket of two or more, every member is compared with
-the bucket's least and greatest document. Pairs whose signatures don't rule out
-the threshold have the overlap of their multisets counted exactly from the
-whole texts. Connected pairs form classes. What the two leaders leave apart is
-then settled exactly: members of one bucket in different classes are compared
-with each other, without any cap.
+ROWS components, and banding.classes verifies and clusters what shares a band by
+the exact overlap of whole texts' multisets.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 6e-6.
 
@@ -28,20 +24,17 @@ of null doc_id have class null. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import text as tx
-from .frames import components, small, stash
+from .banding import Likeness, classes
+from .frames import small, stash
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 M = BANDS * ROWS
-#: A pair is dropped unseen if the share of equal components is this far below the threshold (six standard deviations).
-MARGIN = 0.155
 #: Arrays of points handled at once.
 POINTS = 1 << 20
 _U = np.uint64
@@ -124,21 +117,13 @@ def _sign(batches):
             names=["id", "h1", "h2", "bands", "sketch"])
 
 
-def _alike(threshold: float):
-    least = (threshold - MARGIN) * M
-
-    def keep(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("sa", "sb"))
-            ok = pa.array((a == b).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
-
-    return keep
-
-
 def overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact weighted Jaccard similarity of two multisets given as sorted values and counts."""
-    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    if len(one[0]) > len(two[0]):
+        one, two = two, one
+    j = np.minimum(np.searchsorted(two[0], one[0]), len(two[0]) - 1) if len(two[0]) else np.zeros(0, np.int64)
+    i = np.flatnonzero(two[0][j] == one[0])
+    j = j[i]
     shared = int(np.minimum(one[1][i], two[1][j]).sum())
     return shared / max(1, int(one[1].sum() + two[1].sum()) - shared)
 
@@ -149,41 +134,6 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(tx.shingles(words, rows, 1)[0], return_counts=True)
 
 
-def _verify(threshold: float):
-    def keep(batches):
-        kept: OrderedDict[tuple[int, int], tuple] = OrderedDict()  # bags of recent documents, a few MB
-        held = 0
-
-        def get(key: tuple[int, int], text: str):
-            nonlocal held
-            if key not in kept:
-                kept[key] = bag(text)
-                held += len(kept[key][0])
-                while held > 500_000 and len(kept) > 1:
-                    held -= len(kept.popitem(last=False)[1][0])
-            return kept[key]
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ok = [overlap(get((x, hash(s)), s), get((y, hash(t)), t)) >= threshold
-                  for x, y, s, t in zip(a, b, batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return keep
-
-
-def _true_pairs(pairs: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of candidate pairs (a, b), those whose multisets overlap enough."""
-    sa = signed.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    sb = signed.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    likely = stash(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(threshold), "a long, b long"))
-    need = small(stash(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()), 1_000_000)
-    own = stash(texts.join(need, "id", "left_semi"))
-    ta = own.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    tb = own.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(threshold), "a long, b long")
-
-
 def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class)."""
     tx.small_batches(documents.sparkSession)
@@ -194,27 +144,8 @@ def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> Dat
     copies = stash(signed.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     reps = signed.join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
     reps = stash(reps.where("sketch is not null").dropDuplicates(["id", "h1", "h2"]))
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = stash(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    members = stash(banded.join(buckets, "key"))
-    pairs = members.select(F.col("lo").alias("a"), F.col("id").alias("b")).union(members.select(F.col("id").alias("a"), F.col("hi").alias("b")))
-    pairs = stash(pairs.where("a < b").distinct())
-    links = stash(_true_pairs(pairs, reps, texts, threshold))
-    roots = components(links)
-
-    # the rest: members of one bucket that the leaders left in different classes
-    placed = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    placed = stash(placed)
-    split = stash(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key"))
-    rest = stash(placed.join(split, "key"))
-    x = rest.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    open_pairs = x.join(y, "key").where("ra <> rb and a < b").select("a", "b").distinct()
-    open_pairs = stash(open_pairs.join(pairs, ["a", "b"], "left_anti"))
-    if not open_pairs.isEmpty():
-        more = stash(_true_pairs(open_pairs, reps, texts, threshold))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    how = Likeness(threshold, M, bag, lambda a, b, t: overlap(a, b) >= t)
+    roots = classes(reps.select("id", "bands", "sketch"), lambda ids: texts.join(small(stash(ids.distinct()), 1_000_000), "id", "left_semi").distinct(), how)
 
     named = stash(copies.join(roots, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("root")))
     out = signed.select("id", "h1", "h2").join(named, ["h1", "h2"]).groupBy("id").agg(F.min("root").alias("root"))

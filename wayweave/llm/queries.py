@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, byteconv, chat, edit_embedding, hash_tree, text, winnow
+from . import bagminhash, byteconv, chat, edit_embedding, feistel, hash_tree, licences, mixing, paragraphs, text, winnow
 from .frames import table
 
 
@@ -34,10 +34,27 @@ def op5_byte_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.pseudonyms(table(spark, sf_dir, "documents"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.probe(table(spark, sf_dir, "conversations"))))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_edit_embedding, op2_weighted_hash_tree, op4_bagminhash, op5_byte_convolution, op7_winnowing_decontamination, op10_chat_round_trip,
+    op1_edit_embedding, op2_weighted_hash_tree, op3_feistel_pseudonyms, op4_bagminhash, op5_byte_convolution, op6_licence_scan,
+    op7_winnowing_decontamination, op8_temperature_mixture, op9_repeated_passages, op10_chat_round_trip,
 )}
