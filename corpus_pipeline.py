@@ -1,6 +1,49 @@
-STAGES = []
+"""The corpus pipeline: language, near duplicates, contamination, mixture, shards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wayweave.llm import bagminhash, byteconv, hash_tree, mixing, winnow
+from wayweave.llm.frames import stash, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a known language go."""
+    return byteconv.known_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays."""
+    return bagminhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
+    return winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight says."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row."""
+    return hash_tree.assign(docs)
+
+
+STAGES = [
+    ("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards),
+]
+
+#: A trained network and signatures decide the first two stages, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.range(0)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage is written and read back for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
