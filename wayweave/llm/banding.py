@@ -1,8 +1,8 @@
 """Classes of alike texts from bands and sketches, whatever the signature.
 
 Leaders first: in each bucket of a band every member is verified against two
-leaders, the least id and one drawn by a keyed hash, so that a bucket of n costs
-2n pairs. Connected components of these links are classes, except that members
+leaders, the least and the greatest id, so that a bucket of n costs 2n pairs, and
+fewer where the same leaders come up in many buckets. Connected components of these links are classes, except that members
 the leaders failed could still be linked to each other or to other members.
 That rest is settled exactly: items that share a bucket across classes form
 groups, and in each group all items outside its largest class are compared with
@@ -122,9 +122,7 @@ def _settle(rest: DataFrame, how: Likeness) -> DataFrame:
 def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], how: Likeness) -> DataFrame:
     """Rows (id, root) for every item with a link; items are rows (id, bands, sketch), texts_of gives rows (id, text) for ids."""
     banded = items.select("id", F.explode("bands").alias("key"))
-    drawn = F.max(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), drawn.alias("d"))
-    buckets = stash(buckets.where("lo < hi").select("key", "lo", F.when(F.col("d.id") == F.col("lo"), F.col("hi")).otherwise(F.col("d.id")).alias("hi")))
+    buckets = stash(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
     members = stash(banded.join(small(buckets, BROADCAST_ROWS), "key"))
     led = members.select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b"))
     led = led.union(members.select(F.least("hi", "id").alias("a"), F.greatest("hi", "id").alias("b")))
