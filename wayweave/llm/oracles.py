@@ -1,5 +1,7 @@
 """DuckDB statements for the corpus queries that SQL can express."""
 
+from .mixing import BLOCK_ROWS, ENTROPY, REPEATS, SEED, STEPS
+
 _WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 OP7 = f"""
@@ -35,4 +37,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg({_ROW}, '' ORDER BY turn
 FROM turns GROUP BY conv_id
 """
 
-ORACLES = {"op7_winnowing_decontamination": OP7, "op10_chat_round_trip": OP10}
+_TRIM = "trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13))"
+_POWERS = "list_sum(list_transform(sizes, lambda x: pow(x / total, {m})))"
+_LOGS = "list_sum(list_transform(sizes, lambda x: pow(x / total, {m}) * ln(x / total)))"
+
+OP8 = f"""
+WITH RECURSIVE named AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS src, {_TRIM} AS body FROM documents),
+sized AS (SELECT doc_id, source, src, md5('{SEED}|' || src || '|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
+  CAST(CASE WHEN body = '' THEN 0 ELSE len(string_split_regex(body, '[ \t\n\r]+')) END AS BIGINT) AS tokens FROM named),
+stats AS (SELECT src, sum(tokens) AS size, count(*) AS n FROM sized GROUP BY src HAVING sum(tokens) > 0),
+one AS (SELECT list(CAST(size AS DOUBLE) ORDER BY size) AS sizes, CAST(sum(size) AS DOUBLE) AS total FROM stats),
+probe AS (
+  SELECT 0 AS i, 0::DOUBLE AS slo, 1::DOUBLE AS shi, 0::DOUBLE AS rlo, 1::DOUBLE AS rhi
+  UNION ALL
+  SELECT i + 1, CASE WHEN far THEN sm ELSE slo END, CASE WHEN far THEN shi ELSE sm END, CASE WHEN often THEN rm ELSE rlo END, CASE WHEN often THEN rhi ELSE rm END FROM (
+    SELECT *, ln({_POWERS.format(m='sm')}) - sm * {_LOGS.format(m='sm')} / {_POWERS.format(m='sm')} >= {ENTROPY} * ln(len(sizes)) AS far,
+      pow(sizes[1] / total, rm - 1) / {_POWERS.format(m='rm')} > {REPEATS} AS often
+    FROM (SELECT *, (slo + shi) / 2 AS sm, (rlo + rhi) / 2 AS rm FROM probe, one WHERE i < {STEPS}))),
+raw AS (SELECT greatest(slo, rhi) AS r FROM probe WHERE i = {STEPS}),
+chosen_t AS (SELECT CASE WHEN r > 0.5 AND 1 - r < 1e-9 THEN 1 WHEN r < 1e-9 THEN 0 ELSE r END::DOUBLE AS t FROM raw),
+full_t AS (SELECT t, {_POWERS.format(m='t')} AS z, total FROM chosen_t, one),
+weighted AS (SELECT src, size, greatest(1, CAST(ceil(n / {BLOCK_ROWS}) AS BIGINT)) AS n_blocks, pow(size / total, t) / z AS weight, total FROM stats, full_t),
+sources AS (SELECT src, n_blocks, weight, CAST(floor(weight * total) AS BIGINT) // CAST(size AS BIGINT) AS passes, CAST(floor(weight * total) AS BIGINT) % CAST(size AS BIGINT) AS rest FROM weighted),
+placed AS (SELECT s.*, weight, passes, rest, CAST('0x' || substr(k, 1, 8) AS BIGINT) % n_blocks AS block FROM sized s JOIN sources USING (src)),
+held AS (SELECT src, block, rest, sum(tokens) AS held FROM placed GROUP BY src, block, rest),
+upto AS (SELECT *, sum(held) OVER (PARTITION BY src ORDER BY md5('{SEED}|' || src || '|' || block), block ROWS UNBOUNDED PRECEDING) AS upto FROM held),
+blocks AS (SELECT src, block, upto <= rest AS whole, rest - (upto - held) AS room FROM upto WHERE upto - held < rest),
+edge AS (SELECT p.src, p.k, room, sum(tokens) OVER (PARTITION BY p.src ORDER BY k RANGE UNBOUNDED PRECEDING) AS run FROM placed p JOIN blocks b ON p.src = b.src AND p.block = b.block AND NOT whole),
+taken AS (SELECT DISTINCT src, k FROM edge WHERE run <= room)
+SELECT s.doc_id, s.source, s.tokens, coalesce(p.weight, 0) AS weight,
+  CASE WHEN s.tokens = 0 THEN 0 ELSE coalesce(p.passes, 0) + CASE WHEN b.src IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN t.src IS NOT NULL THEN 1 ELSE 0 END END AS copies
+FROM sized s LEFT JOIN (SELECT DISTINCT src, k, weight, passes, block FROM placed) p ON s.src = p.src AND s.k = p.k
+LEFT JOIN (SELECT src, block FROM blocks WHERE whole) b ON b.src = p.src AND b.block = p.block LEFT JOIN taken t ON t.src = s.src AND t.k = s.k
+"""
+
+ORACLES = {"op7_winnowing_decontamination": OP7, "op8_temperature_mixture": OP8, "op10_chat_round_trip": OP10}
