@@ -13,7 +13,7 @@ def passages(events: DataFrame) -> DataFrame:
 def windowed_sightings(rows: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Distinct (window, edge_id, obj_id); on a stream duplicates and late rows are bounded by the watermark."""
     if rows.isStreaming:
-        rows = rows.withWatermark("ts", late)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return rows.select(w.alias("window"), "edge_id", "obj_id").dropDuplicates(["window", "edge_id", "obj_id"])
 
