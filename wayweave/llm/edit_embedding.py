@@ -10,7 +10,7 @@ documents are walked side by side.
 
 The output is bit-sampled: at fixed steps, 4 hashed bits of the character are
 kept as a hex digit 1 to f, or 0 past the end of the chunk. The first chunk keeps
-64 digits, dense at its start for short texts, each further chunk 32. The
+144 digits, dense at its start for short texts, each further chunk 128. The
 likeness of two fingerprints is the share of equal digits, weighted by the steps
 that each one stands for, where not both are 0; it is 1 for two empty texts.
 
@@ -31,16 +31,15 @@ from pyspark.sql.functions import arrow_udf
 from . import text as tx
 from .frames import small, stash, width
 
-CHUNK = 1024
+CHUNK = 8192
 STEPS = 3 * CHUNK
-HEAD, TAIL = 64, 32
+HEAD, TAIL = 144, 128
 #: Characters walked at once.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 6_000_000
 BANDS, DIGITS = 24, 10
 
 _rng = np.random.default_rng(20240607)
-_MOVE = _rng.integers(0, 2, (STEPS, 256), dtype=np.uint8).astype(np.int64)
-_DIGIT = np.frombuffer(b"123456789abcdef", np.uint8)[_rng.integers(0, 15, (STEPS, 256))]
+_MOVE = _rng.integers(0, 2, (STEPS, 256), dtype=np.uint8)
 
 
 def _strata(edges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +51,9 @@ def _strata(edges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at), np.array(w, np.float64)
 
 
-_HEAD_AT, _HEAD_W = _strata([(0, 64, 4), (64, 256, 12), (256, 1024, 48), (1024, 3072, 128)])
-_TAIL_AT, _TAIL_W = _strata([(0, 3072, 96)])
+_HEAD_AT, _HEAD_W = _strata([(0, 64, 4), (64, 256, 12), (256, 1024, 48), (1024, 4096, 96), (4096, STEPS, 320)])
+_TAIL_AT, _TAIL_W = _strata([(0, STEPS, STEPS // TAIL)])
+_DIGIT = {int(s): np.frombuffer(b"123456789abcdef", np.uint8)[_rng.integers(0, 15, 256)] for s in sorted({*_HEAD_AT, *_TAIL_AT})}
 _BAND_AT = np.array([np.sort(_rng.choice(HEAD, DIGITS, replace=False, p=_HEAD_W[:HEAD] ** 0.5 / (_HEAD_W[:HEAD] ** 0.5).sum())) for _ in range(BANDS)])
 
 

@@ -54,7 +54,7 @@ def width(spark: SparkSession) -> int:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if a count proves that it has at most `rows` rows; else leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
