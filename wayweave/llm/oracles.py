@@ -1,5 +1,6 @@
 """DuckDB statements for the corpus queries that SQL can express."""
 
+from .bagminhash import THRESHOLD
 from .mixing import BLOCK_ROWS, ENTROPY, REPEATS, SEED, STEPS
 
 _WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -23,6 +24,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN pos USING (uid) LEFT JOIN ids USING (uid)
 """
 
+OP4 = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM texts WHERE len(w) > 0)),
+bags AS (SELECT doc_id, s, count(*) AS c FROM shingles GROUP BY doc_id, s),
+sizes AS (SELECT doc_id, sum(c) AS n FROM bags GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE CAST(m AS DOUBLE) / CAST(p.n + q.n - m AS DOUBLE) >= {THRESHOLD}
+  UNION SELECT a.doc_id, b.doc_id FROM texts a JOIN texts b ON a.text = b.text AND a.doc_id < b.doc_id),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM texts UNION SELECT y, root FROM reach JOIN ways ON x = doc_id WHERE root < y)
+SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id IS NULL
+"""
+
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(s>|/s>|INST\]|/INST\])', '\1\\\2\3', 'g')"
 _ROW = "role || chr(10) || txt || chr(10)"
 
@@ -71,4 +86,4 @@ FROM sized s LEFT JOIN (SELECT DISTINCT src, k, weight, passes, block FROM place
 LEFT JOIN (SELECT src, block FROM blocks WHERE whole) b ON b.src = p.src AND b.block = p.block LEFT JOIN taken t ON t.src = s.src AND t.k = s.k
 """
 
-ORACLES = {"op7_winnowing_decontamination": OP7, "op8_temperature_mixture": OP8, "op10_chat_round_trip": OP10}
+ORACLES = {"op4_bagminhash": OP4, "op7_winnowing_decontamination": OP7, "op8_temperature_mixture": OP8, "op10_chat_round_trip": OP10}
