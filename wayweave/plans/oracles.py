@@ -161,6 +161,16 @@ SELECT region_id, count(DISTINCT edge_id) + count(*) AS n FROM seen JOIN r2 USIN
   FROM (SELECT region_id, level, path FROM m_max UNION ALL SELECT region_id, 0, path FROM m WHERE level = 1)),
 levels AS (SELECT region_id, level, sum(n) + 2 * (count(*) - 1) + 2 + length(CAST(level AS VARCHAR)) + 4 AS n FROM lines GROUP BY region_id, level)""",
                           body="SELECT region_id, CAST(sum(n) + 2 * (count(*) - 1) + 2 AS BIGINT) AS n_bytes FROM levels GROUP BY region_id"),
+    "message_bytes": _with(GRID, SPANS, f"""lines AS (SELECT region_id, level, length('[' || array_to_string(path, ', ') || ']') AS n
+  FROM (SELECT region_id, level, path FROM m_max UNION ALL SELECT region_id, 0, path FROM m WHERE level = 1)),
+levels AS (SELECT region_id, level, sum(n) + 2 * (count(*) - 1) + 2 + length(CAST(level AS VARCHAR)) + 4 AS n FROM lines GROUP BY region_id, level),
+msgs AS (
+  SELECT 'paths' AS message, sum(n) + 2 * (count(*) - 1) + 2 AS n FROM levels GROUP BY region_id
+  UNION ALL SELECT 'objects', length('{{' || string_agg(CAST(obj_id AS VARCHAR), ', ') || '}}') + 2 FROM (SELECT DISTINCT region_id, obj_id FROM m_own) WHERE region_id IN (SELECT region_id FROM m_hot) GROUP BY region_id
+  UNION ALL SELECT 'path_objects', length('[' || array_to_string(objs, ', ') || ']') FROM cand
+  UNION ALL SELECT 'edge_objects', length('[' || array_to_string(eo, ', ') || ']')
+    FROM (SELECT unnest(c.p2[:coalesce(i, 0) + 1]) AS edge_id FROM cand c LEFT JOIN spans s ON s.region_a = c.region_a AND s.p1 = c.p1 AND s.region_b = c.region_b AND s.p2 = c.p2) JOIN edge_objs USING (edge_id))""",
+                           body="SELECT message, count(*) AS n_messages, CAST(sum(n) AS BIGINT) AS n_bytes FROM msgs GROUP BY message"),
     "compression_ratio": _with(GRID, SKETCH, """raw AS (SELECT sum(n) AS raw_bytes FROM (SELECT length(CAST(edge_id AS VARCHAR)) + sum(length(CAST(obj_id AS VARCHAR)) + 1) + 1 AS n FROM seen GROUP BY edge_id)),
 fixed AS (SELECT sum(length(CAST(edge_id AS VARCHAR)) + length(CAST(n_raw AS VARCHAR)) + 2) AS f FROM sketch),
 bytes AS (SELECT CAST(pos + 1 AS INTEGER) AS k, CAST(f + sum(n) OVER (ORDER BY pos) AS BIGINT) AS hashed_bytes FROM (SELECT pos, sum(length(CAST(h AS VARCHAR)) + 1) AS n FROM lows GROUP BY pos), fixed)""",

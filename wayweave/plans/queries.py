@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.measures import BYTES_PER_INTEGER, bracketed, cost, pair_code
-from ..operators import mining, motions, network, regions as rg, sketches as sk, stitching
+from ..operators import costs, mining, motions, network, regions as rg, sketches as sk, stitching
 from ..sources import fixtures as fx
 from ..streaming import live
 from . import reports, sweep
@@ -218,6 +218,13 @@ def gather_bytes(spark, d):
     return reports.gather_bytes(mining.maximal(paths).unionByName(paths.where("level = 1").withColumn("level", F.lit(0))))
 
 
+def message_bytes(spark, d):
+    regions, seen = _regions(spark, 1), fx.grid_sightings(spark, d)
+    mined = _mined(spark, d, 1)
+    joined = stitching.stitch(mined, seen, regions, rg.borders(network.connections(fx.grid_edges(spark)), regions), PATHS)
+    return costs.message_bytes(mined, joined, seen, regions)
+
+
 def compression_ratio(spark, d):
     return sk.compression(fx.grid_sightings(spark, d), K, SEED)
 
@@ -264,5 +271,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     sightings_by_edge, partition_d0, partition_d1, partition_d2, regional_connections, borders, region_objects, pairs, triples, paths_all, paths_maximal,
     paths_by_level, region_paths, region_ready, distinct_path_edges, region_common_objects, span_candidates, span_paths, span_remainders, absorbed_paths,
     path_catalog_counts, span_counts, minhash_signatures, cohen_by_region, union_signature, hot_edges_sketch, pairs_sketch, hot_edges_override, sketch_accuracy,
-    first_level_bytes, gather_bytes, compression_ratio, permutation_search, path_log_lines, pair_codes, pair_report, threshold_sweep, simulated_motions, live_edge_counts,
+    first_level_bytes, gather_bytes, message_bytes, compression_ratio, permutation_search, path_log_lines, pair_codes, pair_report, threshold_sweep, simulated_motions, live_edge_counts,
 )}
