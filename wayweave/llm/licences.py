@@ -90,10 +90,13 @@ def _runs(n: int) -> str:
 
 
 def grams_of(words: str) -> str:
-    """Distinct n-grams of a word array with at least one word that is no stop word."""
-    stop = "array(" + ", ".join(f"'{w}'" for w in STOP) + ")"
-    every = f"array_distinct(concat(w, {_runs(2)}, {_runs(3)}))"
-    return f"transform(array({words}), w -> filter({every}, g -> size(array_except(split(g, ' '), {stop})) > 0))[0]"
+    """Distinct 1-, 2- and 3-grams of a word array."""
+    return f"transform(array({words}), w -> array_distinct(concat(w, {_runs(2)}, {_runs(3)})))[0]"
+
+
+def telling(gram: str) -> str:
+    """Whether an n-gram has a word that is no stop word."""
+    return f"size(array_except(split({gram}, ' '), array({', '.join(repr(w) for w in STOP)}))) > 0"
 
 
 def pairs_of(words: str) -> str:
@@ -141,8 +144,8 @@ def train(spark: SparkSession, documents: DataFrame | None = None, rows: int = S
         made = made.unionByName(picked.where("text <> '' and not lower(text) rlike 'licen[sc]|copyright|public domain|creative commons'")
                                 .select(F.lit(UNKNOWN).alias("family"), "text").limit(rows))
     made = stash(made.selectExpr("family", f"{grams_of(words_sql('text'))} as grams", "xxhash64(family, text) % 4 = 0 as held").coalesce(1))
-    vocabulary = [r.gram for r in made.where(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).groupBy("gram").count()
-                  .where("count >= 3").orderBy("gram").select("gram").collect()]  # bounded by the fixed notices
+    vocabulary = [r.gram for r in made.where(F.col("family") != UNKNOWN).select(F.explode("grams").alias("gram")).where(telling("gram"))
+                  .groupBy("gram").count().where("count >= 3").orderBy("gram").select("gram").collect()]  # bounded by the fixed notices
     classes = [*sorted(NAMES), UNKNOWN]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features")
