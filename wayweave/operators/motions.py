@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.store import cut
+from ..plans.store import cut, ranked
 from .network import central_edges, connections
 
 
@@ -34,12 +34,13 @@ def simulate(spark: SparkSession, edges: DataFrame, objects: int, length: int, s
     hashes of seed, object, step and edge.
     """
     draw = lambda *c: F.xxhash64(F.lit(seed), *c)
-    starts = edges.select("edge_id").join(central_edges(edges, central_share).select("edge_id", F.lit(True).alias("central")), "edge_id", "left")
-    listed = starts.agg(F.sort_array(F.collect_list("edge_id")).alias("every"), F.sort_array(F.collect_list(F.when(F.col("central"), F.col("edge_id")))).alias("mid")).first()
-    every, mid = (F.array(*[F.lit(e) for e in x]) for x in (listed.every, listed.mid))
-    pick = lambda a: F.element_at(a, (F.pmod(draw(F.col("id"), F.lit(0)), F.size(a).cast("long")) + 1).cast("int"))
+    every = ranked(edges.select("edge_id"), "edge_id")
+    mid = ranked(central_edges(edges, central_share).select("edge_id"), "edge_id")
+    n_every, n_mid = edges.count(), mid.count()
+    draws = spark.range(objects).select(F.col("id").alias("obj_id"), (F.col("id") < int(central_start * objects)).alias("central"), draw(F.col("id"), F.lit(0)).alias("h"))
+    picks = draws.select("obj_id", "central", (F.pmod("h", F.when(F.col("central"), F.lit(n_mid)).otherwise(F.lit(n_every)).cast("long")) + 1).alias("nth"))
+    walk = picks.where("central").join(mid, "nth").select("obj_id", "edge_id").union(picks.where("not central").join(every, "nth").select("obj_id", "edge_id"))
     ext = edges.agg(((F.min(F.least("x1", "x2")) + F.max(F.greatest("x1", "x2"))) / 2).alias("m")).first().m
-    walk = spark.range(objects).select(F.col("id").alias("obj_id"), F.when(F.col("id") < int(central_start * objects), pick(mid)).otherwise(pick(every)).alias("edge_id"))
     shape = edges.select(F.col("edge_id").alias("e"), "src", "dst", "x1", "x2")
     now = walk.join(shape, walk.edge_id == shape.e).select(
         "obj_id", F.lit(1).alias("pos"), "edge_id", "src", "dst", F.when(F.col("x1") < ext, 1).otherwise(-1).alias("way"), F.array("src", "dst").alias("seen"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.store import ranked
 
 #: Edge numbers that are never given out, and the number before the first one.
 RESERVED = (1, 112, 122, 212, 222)
@@ -13,12 +15,8 @@ SCALE = 100_000_000
 
 
 def number_edges(edges: DataFrame, order: list[str]) -> DataFrame:
-    """Adds edge_id: 3, 4, ... in the given order; a reserved number is passed over once.
-
-    Meant for one network: the numbering is a single sorted sequence.
-    """
-    nth = F.row_number().over(Window.orderBy(*order)).cast("long")
-    numbered = edges.withColumn("edge_id", nth + FIRST)
+    """Adds edge_id: 3, 4, ... in the given order; a reserved number is passed over once."""
+    numbered = ranked(edges, *order, name="edge_id").withColumn("edge_id", F.col("edge_id") + FIRST)
     for taken in sorted(r for r in RESERVED if r > FIRST):
         numbered = numbered.withColumn("edge_id", F.when(F.col("edge_id") >= taken, F.col("edge_id") + 1).otherwise(F.col("edge_id")))
     return numbered
