@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.store import cut
+from ..plans.store import cut, small
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,13 @@ def mine(sightings: DataFrame, regions: DataFrame, connections: DataFrame, thres
     """All chains, level by level, until none is left or max_level.
 
     Support is kept as rows (path, obj_id), so that a level is two equi-joins and
-    a count, whatever the number of objects; a chain may not return to one of
+    a count, whatever the number of objects; paths are broadcast up to a counted number; a chain may not return to one of
     its edges, except to stay on a self-loop.
     """
     own = cut(sightings.join(regions, "edge_id").select("region_id", "edge_id", "obj_id").distinct())
     total = cut(own.groupBy("region_id").agg(F.countDistinct("obj_id").alias("n_objects")))
     hot = cut(hot_edges(own.select("edge_id", "obj_id"), regions, threshold))
-    marks = own.join(hot.select("region_id", "edge_id"), ["region_id", "edge_id"], "left_semi")
+    marks = own.join(small(hot.select("region_id", "edge_id")), ["region_id", "edge_id"], "left_semi")
     occ = cut(marks.select("region_id", F.array("edge_id").alias("path"), "obj_id"))
     level = hot.select("region_id", F.lit(1).alias("level"), F.array("edge_id").alias("path"), "support", "n_objects", "ratio")
     paths, occurrences = level, occ
@@ -59,7 +59,11 @@ def mine(sightings: DataFrame, regions: DataFrame, connections: DataFrame, thres
     for n in range(2, max_level + 1):
         grown = level.select("region_id", "path", F.element_at("path", -1).alias("tail")).join(follow, "tail").join(warm, ["region_id", "succ"])
         grown = grown.where("succ = tail or not array_contains(path, succ)").select("region_id", "path", "succ")
-        new = occ.join(grown, ["region_id", "path"]).join(seen, ["region_id", "succ", "obj_id"])
+        if n > 2:  # support falls with length: a chain can't hold unless its end of the same length does
+            ends = level.select("region_id", F.col("path").alias("end"))
+            grown = grown.withColumn("end", F.concat(F.expr("slice(path, 2, size(path) - 1)"), F.array("succ"))).join(small(ends), ["region_id", "end"], "left_semi").drop("end")
+        grown = cut(grown)
+        new = occ.join(small(grown), ["region_id", "path"]).join(seen, ["region_id", "succ", "obj_id"])
         new = cut(new.select("region_id", F.concat("path", F.array("succ")).alias("path"), "obj_id"))
         level = cut(
             new.groupBy("region_id", "path").agg(F.count("*").alias("support")).join(total, "region_id")
@@ -67,7 +71,7 @@ def mine(sightings: DataFrame, regions: DataFrame, connections: DataFrame, thres
             .select("region_id", F.lit(n).alias("level"), "path", "support", "n_objects", "ratio"))
         if level.isEmpty():
             break
-        occ = new.join(level.select("region_id", "path"), ["region_id", "path"], "left_semi")
+        occ = new.join(small(level.select("region_id", "path")), ["region_id", "path"], "left_semi")
         paths, occurrences = paths.unionByName(level), occurrences.unionByName(occ)
     return Mined(paths, occurrences)
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.store import cut
+from ..plans.store import cut, small
 from .mining import Mined, maximal
 
 _KEY = ["region_a", "p1", "region_b", "p2"]
@@ -49,7 +49,7 @@ def stitch(mined: Mined, sightings: DataFrame, regions: DataFrame, border: DataF
     n_common = common_objects(sightings, regions)
     objs = mined.occurrences.select(F.col("region_id").alias("region_a"), F.col("path").alias("p1"), "obj_id")
     steps = pairs.select(*_KEY, F.posexplode("p2").alias("at", "edge_id"))
-    seen = steps.join(objs, ["region_a", "p1"]).join(sightings.distinct(), ["edge_id", "obj_id"])
+    seen = objs.join(small(steps), ["region_a", "p1"]).join(sightings.distinct(), ["edge_id", "obj_id"])
     reach = seen.groupBy(*_KEY, "obj_id").agg(F.sort_array(F.collect_set("at")).alias("at")).withColumn(
         "reach", F.expr("size(filter(transform(at, (x, i) -> x = i), ok -> ok))")).where("reach > 0")
     held = reach.select(*_KEY, F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("n")).groupBy(*_KEY, "n").agg(F.count("*").alias("n_objects"))

@@ -15,6 +15,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast df if a count proves that it has at most `rows` rows; else leave the join to a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ranked(df: DataFrame, *order: str, name: str = "nth") -> DataFrame:
     """df with its rows' numbers 1, 2, ... in the given order, without sorting all rows in one task.
 
