@@ -4,9 +4,9 @@ A text is walked from left to right: at step j the character under the pointer
 is written out, and the pointer moves on if a random bit shared by all texts,
 R(j, character), is 1. Walks of two texts that differ by an edit fall into step
 again after it, so edit distance turns into Hamming distance of the outputs.
-Texts are walked in chunks of CHUNK characters: a walk only forgives a shift
-of about the root of its length, so a longer one gains nothing, and chunks of all
-documents are walked side by side.
+Texts are walked in chunks of CHUNK characters, so that the chunks of all
+documents are walked side by side and a very long text doesn't hold up the others.
+Shifts of up to about the root of CHUNK are forgiven, in each chunk anew.
 
 The output is bit-sampled: at fixed steps, 4 hashed bits of the character are
 kept as a hex digit 1 to f, or 0 past the end of the chunk. The first chunk keeps
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import text as tx
-from .frames import small, stash, width
+from .frames import stash, width
 
 CHUNK = 8192
 STEPS = 3 * CHUNK
@@ -225,5 +225,3 @@ def near_pairs(documents: DataFrame, least: float = 0.8) -> DataFrame:
     copies = own.join(one, "print").where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
     return near.unionByName(copies)
 
-
-__all__ = ["edited", "fingerprint_with_neighbours", "fingerprints", "likeness", "near_pairs", "small"]

@@ -14,7 +14,7 @@ The law is `key`: doc_id and the shards' weights decide, nothing else. A null
 doc_id is one key. Rows of one doc_id share a shard. Slots number the rows
 of a shard from 0 without gaps, within hashed pieces of about PIECE_ROWS rows, so
 that no task sorts a whole shard. A null text has no bytes and crc32 0. Extra
-columns stay.
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
