@@ -374,6 +374,13 @@ def test_repeated_passages(spark):
     assert paragraphs.repeated(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_paragraphs_from_twenty_words_on(spark):
+    exact, near = words(20, 31), words(39, 32)
+    rows = [(1, " ".join(exact) + "\n" + " ".join(near)), (2, "x\n" + " ".join(exact)), (3, " ".join(near[1:]) + "\n" + " ".join(words(90, 33))), (4, " ".join(words(30, 34)))]
+    got = sorted((r.doc_id, r.n_words, r.kind, r.first_doc, r.removed) for r in paragraphs.repeated(docs(spark, rows)).collect())
+    assert got == [(1, 20, "paragraph", 1, False), (1, 39, "paragraph", 1, False), (2, 20, "paragraph", 1, True), (3, 38, "paragraph", 1, True)]
+
+
 def test_every_passage_of_fifty_words_is_seen():
     r = random.Random(4)
     for trial in range(40):

@@ -30,7 +30,7 @@ from .banding import Likeness, classes
 from .frames import small, stash
 
 THRESHOLD, RECALL = 0.8, 0.999
-MIN_WORDS = 40
+MIN_WORDS = 20
 HASHES = 30
 K, WINDOW = 20, 31
 FEW_SHINGLES = 8
