@@ -381,6 +381,43 @@ def test_paragraphs_from_twenty_words_on(spark):
     assert got == [(1, 20, "paragraph", 1, False), (1, 39, "paragraph", 1, False), (2, 20, "paragraph", 1, True), (3, 38, "paragraph", 1, True)]
 
 
+def test_passages_are_reported_whole_and_by_source(spark):
+    one, two = words(60, 41, 10**6), words(55, 42, 10**6)
+    rows = [(1, " ".join(words(40, 43) + one[10:35] + words(70, 44))), (2, " ".join(words(33, 45) + two + words(9, 46))), (3, " ".join(words(80, 47) + one + two[:52] + words(50, 48))),
+            (4, " ".join(words(12, 49) + one + words(31, 50)))]
+    found = {}
+    for r in paragraphs.repeated(docs(spark, rows)).where("kind = 'passage'").collect():
+        text = dict(rows)[r.doc_id].encode()[r.start:r.stop].decode().split()
+        assert len(text) == r.n_words and r.removed == (r.doc_id > r.first_doc)
+        found[r.doc_id, r.first_doc] = text
+    assert found[3, 3] == found[4, 3] == one
+    assert found[2, 2] == found[3, 2] == two[:52]
+    assert all(t == one[10:35] for (_, f), t in found.items() if f == 1)
+
+
+def test_every_shared_fifty_words_is_covered(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id is not null")
+    texts, grams, cut = {r.doc_id: r.text or "" for r in df.collect()}, {}, {}
+    for i, t in texts.items():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        off = np.array([0, len(raw)])
+        w = tx.words(raw, off)[0].tolist() if len(raw) else []
+        cut[i] = w, paragraphs._extents(raw, off) if len(raw) else None
+        for s in range(len(w) - 49):
+            grams.setdefault(tuple(w[s:s + 50]), set()).add(i)
+    spans = {}
+    for r in paragraphs.repeated(df).where("kind = 'passage'").collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.stop, r.removed))
+    n = 0
+    for i, (w, ends) in cut.items():
+        for s in range(len(w) - 49):
+            who = grams[tuple(w[s:s + 50])]
+            if len(who) > 1:
+                n += 1
+                assert any(a <= ends[0][s] and b >= ends[1][s + 49] and (gone or i == min(who)) for a, b, gone in spans.get(i, []))
+    assert n
+
+
 def test_every_passage_of_fifty_words_is_seen():
     r = random.Random(4)
     for trial in range(40):

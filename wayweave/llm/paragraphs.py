@@ -12,8 +12,13 @@ A passage that sits inside different paragraphs leaves them too unlike for
 that. So each document is also winnowed: the least hash of every window of WINDOW
 runs of K words is kept, K + WINDOW - 1 = 50, so that a passage of 50 words or more
 which two documents share word for word always gives both a common hash, at
-the same place in it. Runs of K words of such hashes are repeated spans, merged
-where they overlap. The two kinds are reported side by side.
+the same place in it. From such a run of K words the whole of what is shared is
+found: all runs of K words up to REACH words away on either side are compared
+too, which is as far as a shared text can go on without another common hash.
+Places with the same words all that way round are compared once, by their least
+document. Spans that touch are merged for each first_doc (the least document with
+these words), so that `removed` holds for every word of a span; spans of
+different first_docs can overlap. The two kinds are reported side by side.
 
 Nulls and texts without words have no paragraphs. Rows of one doc_id count as
 one document. Rows of null doc_id are left out. Extra columns are ignored.
@@ -33,6 +38,7 @@ THRESHOLD, RECALL = 0.8, 0.999
 MIN_WORDS = 20
 HASHES = 30
 K, WINDOW = 20, 31
+REACH = WINDOW - 1
 FEW_SHINGLES = 8
 _U = np.uint64
 
@@ -98,15 +104,30 @@ def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     return at[:n]
 
 
+def grams(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of K words."""
+    m = max(len(words) - K + 1, 0)
+    h = np.zeros(m, _U)
+    for j in range(K):
+        h += words[j:j + m] * _U(pow(0x9E3779B97F4A7C15, j + 1, 2**64) | 1)
+    return tx.mix(h)
+
+
+def surroundings(words: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the words from REACH before to REACH after the runs of K words at places, within lo to hi."""
+    h = np.zeros(len(places), _U)
+    for j in range(-REACH, K + REACH):
+        at = places + j
+        ok = (at >= lo) & (at < hi)
+        h[ok] += words[at[ok]] * _U(pow(0xD6E8FEB86659FD93, j + REACH + 1, 2**64) | 1)
+    return tx.mix(h)
+
+
 def winnow(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the winnowed runs of K words; places index words."""
     if len(words) < K + WINDOW - 1:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    m = len(words) - K + 1
-    h = np.zeros(m, _U)
-    for j in range(K):
-        h += words[j:j + m] * _U(pow(0x9E3779B97F4A7C15, j + 1, 2**64) | 1)
-    h = tx.mix(h)
+    h = grams(words)
     at = _window_min(h, WINDOW)
     inside = rows[:len(at)] == rows[K + WINDOW - 2:]
     places = np.unique(at[inside])
@@ -125,13 +146,15 @@ def _extents(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-_PIECES = "doc_id long, kind string, start long, stop long, n_words long, hash long, bands array<long>, sketch binary"
+_PIECES = "doc_id long, kind string, start long, stop long, n_words long, hash long, bands array<long>, sketch binary, version long, at long, around long, place long"
+_GRAMS = "doc_id long, version long, at long, n_words long, start long, stop long, hash long"
 
 
 def _cut(batches):
     for batch in batches:
         data, at = tx.utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        versions = batch.column("version").to_numpy(zero_copy_only=False)
         for lo, hi in tx.blocks(at):
             raw, off = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
             if not len(raw):
@@ -157,15 +180,46 @@ def _cut(batches):
             yield _batch(ids[lo + doc], "paragraph", cuts[long] - off[doc], cuts[long + 1] - off[doc], n_words[long], hashes, list(key), [m.tobytes() for m in marks])
             places, prints = winnow(words, rows)
             doc = rows[places]
-            yield _batch(ids[lo + doc], "passage", begin[places] - off[doc], end[places + K - 1] - off[doc], np.full(len(places), K), prints)
+            first, last = np.searchsorted(rows, doc), np.searchsorted(rows, doc, "right")
+            a, b = np.maximum(places - REACH, first), np.minimum(places + K + REACH, last)
+            yield _batch(ids[lo + doc], "passage", begin[a] - off[doc], end[b - 1] - off[doc], b - a, prints, None, None,
+                         versions[lo + doc], a - first, surroundings(words, places, first, last).view(np.int64), places - first)
 
 
-def _batch(ids, kind, start, stop, n, hashes, bands=None, sketch=None):
+def _near(batches):
+    """Runs of K words of texts that start up to REACH words before or after those that start at `places` (word numbers)."""
+    for batch in batches:
+        data, at = tx.utf8(batch.column("text"))
+        ids, versions = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "version"))
+        places = batch.column("places").to_pylist()
+        for lo, hi in tx.blocks(at):
+            raw, off = data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+            if not len(raw):
+                continue
+            words, rows = tx.words(raw, off)
+            begin, end = _extents(raw, off)
+            h = grams(words)
+            first, last = np.searchsorted(rows, np.arange(hi - lo)), np.searchsorted(rows, np.arange(hi - lo), "right")
+            step = np.zeros(len(words) + 1, np.int64)
+            for i in range(lo, hi):
+                p = np.array(places[i], np.int64) + first[i - lo]
+                np.add.at(step, np.maximum(p - REACH, first[i - lo]), 1)
+                np.add.at(step, np.minimum(p + REACH + 1, np.maximum(last[i - lo] - K + 1, first[i - lo])), -1)
+            spots = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+            doc = rows[spots]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (ids[lo + doc], versions[lo + doc], spots - first[doc], np.full(len(spots), K), begin[spots] - off[doc],
+                                                   end[spots + K - 1] - off[doc], h[spots].view(np.int64))],
+                names=["doc_id", "version", "at", "n_words", "start", "stop", "hash"])
+
+
+def _batch(ids, kind, start, stop, n, hashes, bands=None, sketch=None, version=None, at=None, around=None, place=None):
     return pa.RecordBatch.from_arrays(
         [pa.array(ids, pa.int64()), pa.array([kind] * len(ids), pa.string()), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(n, pa.int64()),
          pa.array(hashes.view(np.int64)), pa.array(bands, pa.list_(pa.int64())) if bands is not None else pa.nulls(len(ids), pa.list_(pa.int64())),
-         pa.array(sketch if sketch is not None else [None] * len(ids), pa.binary())],
-        names=["doc_id", "kind", "start", "stop", "n_words", "hash", "bands", "sketch"])
+         pa.array(sketch if sketch is not None else [None] * len(ids), pa.binary()),
+         *(pa.array(x, pa.int64()) if x is not None else pa.nulls(len(ids), pa.int64()) for x in (version, at, around, place))],
+        names=["doc_id", "kind", "start", "stop", "n_words", "hash", "bands", "sketch", "version", "at", "around", "place"])
 
 
 def edit_likeness(a: list[str], b: list[str]) -> float:
@@ -204,11 +258,11 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Repeated passages: doc_id, kind, start, stop (bytes of the UTF-8 text), n_words, class_id, first_doc, removed.
 
     kind `paragraph`: lines, class_id of their component; kind `passage`: spans
-    found by winnowing, class_id the least document that shares any part.
+    found by winnowing, class_id the least document that shares them.
     """
     tx.small_batches(documents.sparkSession)
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = stash(docs.select("doc_id", "text").mapInArrow(_cut, _PIECES))
+    pieces = stash(docs.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(_cut, _PIECES))
     lines, prints = pieces.where("kind = 'paragraph'"), pieces.where("kind = 'passage'")
 
     place = F.struct("doc_id", "start", "stop")
@@ -228,12 +282,32 @@ def repeated(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "doc_id", "kind", "start", "stop", "n_words", "class_id", "first_doc",
         (~((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start")))).alias("removed"))
 
-    shared = prints.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("hash", "first_doc")
-    spans = stash(prints.join(small(stash(shared), 1_000_000), "hash").select("doc_id", "start", "stop", "n_words", "first_doc"))
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    upto = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    run = spans.withColumn("new", F.when(F.col("start") <= upto, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("n_words").alias("n_words"), F.min("first_doc").alias("first_doc"))
-    inner = inner.select("doc_id", F.lit("passage").alias("kind"), "start", "stop", "n_words", F.col("first_doc").alias("class_id"), "first_doc",
+    return whole.unionByName(_passages(docs, prints))
+
+
+def _shared(found: DataFrame, *key: str) -> DataFrame:
+    """The rows of keys that several documents have, with first_doc, the least of them."""
+    both = found.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").drop("last")
+    return found.join(small(stash(both), 1_000_000), list(key))
+
+
+def _passages(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Spans of words that documents share, from the winnowed runs of K words and their surroundings."""
+    span = ["doc_id", "version", "at", "n_words", "start", "stop"]
+    hits = stash(_shared(prints.select(*span, "hash", "around", "place"), "hash").drop("first_doc"))
+    copies = stash(hits.groupBy("hash", "around").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")))
+    held = stash(hits.join(small(copies, 1_000_000), ["hash", "around"]))
+    same = held.where("first_doc < last").select(*span, "first_doc")
+
+    places = stash(held.where("doc_id = first_doc").groupBy("doc_id", "version").agg(F.collect_set("place").alias("places")))
+    texts = docs.withColumn("version", F.xxhash64("text")).join(small(places, 200_000), ["doc_id", "version"])
+    runs = stash(texts.select("doc_id", "version", "text", "places").mapInArrow(_near, _GRAMS))
+    spans = same.unionByName(_shared(runs, "hash").select(*span, "first_doc"))
+
+    own = ["doc_id", "version", "first_doc"]
+    order = Window.partitionBy(*own).orderBy("at")
+    upto = F.max(F.col("at") + F.col("n_words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = spans.withColumn("new", F.when(F.col("at") <= upto, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = run.groupBy(*own, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("at") + F.col("n_words")) - F.min("at")).alias("n_words"))
+    return merged.select("doc_id", F.lit("passage").alias("kind"), "start", "stop", "n_words", F.col("first_doc").alias("class_id"), "first_doc",
                          (F.col("doc_id") > F.col("first_doc")).alias("removed"))
-    return whole.unionByName(inner)
