@@ -97,6 +97,15 @@ def test_search_permutations():
     assert got[64] is None  # 100 is too much, 50 too little
 
 
+def test_signature_lengths_grow_until_the_least_target(spark):
+    seen = spark.createDataFrame([(1, o) for o in range(1000, 1400)], "edge_id long, obj_id long")
+    table = {r.k: r.ratio for r in sk.compression(seen, 200).collect()}
+    assert table[16] > 8
+    assert sk.signature_lengths(seen, [8.0, 4.0, 2.0], k_max=16) == sk.search_permutations(table, [8.0, 4.0, 2.0])
+    assert all(k for _, k, _ in sk.signature_lengths(seen, [8.0, 4.0, 2.0], k_max=16))
+    assert sk.signature_lengths(seen.limit(0), [2.0]) == [(2.0, None, None)]
+
+
 def test_pair_report_and_replay(spark):
     top = spark.createDataFrame([(1, 0.3, 4, "a"), (2, 0.3, 4, "b"), (3, 0.6, 4, "c")], "line_no long, threshold double, k int, head string")
     pairs = spark.createDataFrame([(0.3, 4, "[3,41]"), (0.3, 4, "[1234,5]"), (0.6, 4, "[0]")], "threshold double, k int, pair string")

@@ -231,8 +231,7 @@ def compression_ratio(spark, d):
 
 def permutation_search(spark, d):
     seen = fx.grid_sightings(spark, d)
-    table = {r.k: r.ratio for r in sk.compression(seen, 256, SEED).collect()}  # 256 rows
-    return spark.createDataFrame(sk.search_permutations(table, [256.0, 128.0, 64.0, 32.0, 16.0, 8.0, 4.0, 2.0]), "target double, k long, ratio double")
+    return spark.createDataFrame(sk.signature_lengths(seen, [256.0, 128.0, 64.0, 32.0, 16.0, 8.0, 4.0, 2.0], SEED), "target double, k long, ratio double")
 
 
 def path_log_lines(spark, d):
