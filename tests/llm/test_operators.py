@@ -194,6 +194,15 @@ def test_near_duplicate_classes_match_brute_force(spark):
     assert bm.duplicate_classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id_are_judged_by_themselves(spark):
+    a, b, c, d = (" ".join(words(80, 60 + i)) for i in range(4))
+    rows = [(1, a), (5, a + " end"), (5, b), (5, c), (5, c), (9, c + " end"), (10, d), (10, None), (10, "")]
+    kept = [(r.doc_id, r.text or "") for r in bm.one_of_each(docs(spark, rows, True)).collect()]
+    assert sorted(kept) == sorted([(1, a), (5, b), (5, c), (10, d), (10, "")])
+    got = {r.doc_id: r.class_id for r in bm.duplicate_classes(docs(spark, rows)).collect()}
+    assert got == {1: 1, 5: 1, 9: 5, 10: 10}
+
+
 def test_settling_finds_links_that_leaders_miss(spark):
     """A chain of texts in one bucket: neighbours alike, others not."""
     texts = [" ".join(f"t{j}" for j in range(i * 10, i * 10 + 100)) for i in range(30)]

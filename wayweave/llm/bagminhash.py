@@ -18,15 +18,16 @@ A pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 6e-6.
 
 Null and empty texts are equal texts (one class). Texts without words are
 in a class only with equal texts. Texts of one to four words have a single
-shingle. A doc_id on rows of several texts takes the least class of those; rows
-of null doc_id have class null. Extra columns are ignored.
+shingle. Classes belong to texts: a doc_id on rows of several texts takes the
+least class of those, but does not join them; rows of null doc_id have class null.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
 from .banding import Likeness, classes
@@ -134,8 +135,11 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(tx.shingles(words, rows, 1)[0], return_counts=True)
 
 
-def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class)."""
+def _text_classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h1, h2) of all documents with an id, and rows (h1, h2, class_id, keep) of their texts.
+
+    class_id is the least doc_id of the class, keep the (id, h1, h2) that stands for it.
+    """
     tx.small_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
     hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
@@ -143,23 +147,40 @@ def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> Dat
 
     copies = stash(signed.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     reps = signed.join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
-    reps = stash(reps.where("sketch is not null").dropDuplicates(["id", "h1", "h2"]))
+    reps = stash(reps.where("sketch is not null").dropDuplicates(["h1", "h2"]))
     how = Likeness(threshold, M, bag, lambda a, b, t: overlap(a, b) >= t)
-    roots = classes(reps.select("id", "bands", "sketch"), lambda ids: texts.join(small(stash(ids.distinct()), 1_000_000), "id", "left_semi").distinct(), how)
+    by_text = hashed.select(F.col("h1").alias("id"), "text")
+    roots = classes(reps.select(F.col("h1").alias("id"), "bands", "sketch"),
+                    lambda ids: by_text.join(small(stash(ids.distinct()), 1_000_000), "id", "left_semi").distinct(), how)
+
+    named = stash(copies.join(roots, F.col("h1") == F.col("id"), "left").select("h1", "h2", "rep", F.coalesce("root", "h1").alias("root")))
+    least = stash(named.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("id"), "h1", "h2")).alias("keep")))
+    return signed.select("id", "h1", "h2"), stash(named.join(least, "root").select("h1", "h2", F.col("keep.id").alias("class_id"), "keep"))
+
 
-    named = stash(copies.join(roots, F.col("rep") == F.col("id"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("root")))
-    out = signed.select("id", "h1", "h2").join(named, ["h1", "h2"]).groupBy("id").agg(F.min("root").alias("root"))
+def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class)."""
+    rows, named = _text_classes(documents, threshold)
+    out = rows.join(named, ["h1", "h2"]).groupBy("id").agg(F.min("class_id").alias("root"))
     none = documents.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("root").alias("class_id")).unionByName(none)
 
 
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents (all their columns) that stand for their class: one row each; rows of null doc_id stay."""
-    classes = stash(duplicate_classes(documents, threshold).where("doc_id is not null"))
-    gone = small(stash(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()), 1_000_000)
-    kept = documents.join(gone, F.col("doc_id").cast("long") == gone["__gone"], "left_anti")
-    twice = stash(documents.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__twice")).count().where("count > 1").select("__twice"))
+    rows, named = _text_classes(documents, threshold)
+    seen = stash(rows.groupBy("id", "h1", "h2").count().join(named, ["h1", "h2"])
+                 .select("id", "h1", "h2", (F.struct("id", "h1", "h2") != F.col("keep")).alias("gone"), (F.col("count") > 1).alias("twice")))
+    text = F.coalesce("text", F.lit(""))
+
+    def of(some: DataFrame) -> tuple[DataFrame, Column]:
+        some = small(stash(some.select(*(F.col(c).alias(f"__{c}") for c in ("id", "h1", "h2")))), 1_000_000)
+        return some, (F.col("doc_id").cast("long") == some["__id"]) & (F.xxhash64(text) == some["__h1"]) & (F.xxhash64(F.lit(1), text) == some["__h2"])
+
+    kept = documents.join(*of(seen.where("gone")), "left_anti")
+    twice = seen.where("twice and not gone")
     if twice.isEmpty():
         return kept
-    again = F.col("doc_id").cast("long") == twice["__twice"]
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = of(twice)
+    one = kept.join(*again, "left_semi").withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.join(*again, "left_anti").unionByName(one)
