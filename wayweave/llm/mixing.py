@@ -23,12 +23,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import small, stash
+from .frames import BESIDE_TEXTS, small, stash
 
 ENTROPY, REPEATS = 0.95, 4.0
 BLOCK_ROWS = 1000
 SEED = "mix-1"
-BROADCAST_ROWS = 1_000_000
 STEPS = 60
 _SPACE = " \t\n\r"
 
@@ -86,7 +85,7 @@ def decide(sized: DataFrame, budget: float | None = None, entropy: float = ENTRO
         .select("src", "n_blocks", "weight", "size", F.floor(F.col("weight") * aim).cast("long").alias("quota"))
         .selectExpr("src", "n_blocks", "weight", "quota", "quota div size as passes", "quota % size as rest")
     )
-    placed = sized.join(small(sources, BROADCAST_ROWS), "src").withColumn("block", F.expr(_block("k", "n_blocks")))
+    placed = sized.join(small(sources), "src").withColumn("block", F.expr(_block("k", "n_blocks")))
     order = Window.partitionBy("src").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "src", F.col("block").cast("string")).cast("binary")), "block")
     blocks = stash(
         placed.groupBy("src", "block", "rest").agg(F.sum("tokens").alias("held"))
@@ -94,7 +93,7 @@ def decide(sized: DataFrame, budget: float | None = None, entropy: float = ENTRO
         .where("upto - held < rest")
         .selectExpr("src", "block", "upto <= rest as whole", "rest - (upto - held) as room")
     )
-    edge = small(stash(blocks.where("not whole").select("src", "block", "room")), BROADCAST_ROWS)
+    edge = small(stash(blocks.where("not whole").select("src", "block", "room")))
     running = F.sum("tokens").over(Window.partitionBy("src").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = stash(
         placed.select("src", "block", "k", "tokens").join(edge, ["src", "block"]).withColumn("run", running)
@@ -109,9 +108,9 @@ def copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame]) -> Dat
     a = sources.selectExpr("src as __a", "n_blocks as __n", "weight as __weight", "passes as __passes")
     b = whole.selectExpr("src as __b", "block as __bb", "1 as __whole")
     c = chosen.selectExpr("src as __c", "k as __ck", "1 as __chosen")
-    out = rows.join(small(a, BROADCAST_ROWS), F.col("src") == F.col("__a"), "left").withColumn("__block", F.expr(_block("k", "__n")))
-    out = out.join(small(b, BROADCAST_ROWS), (F.col("src") == F.col("__b")) & (F.col("__block") == F.col("__bb")), "left")
-    out = out.join(small(c, BROADCAST_ROWS), (F.col("src") == F.col("__c")) & (F.col("k") == F.col("__ck")), "left")
+    out = rows.join(small(a, BESIDE_TEXTS), F.col("src") == F.col("__a"), "left").withColumn("__block", F.expr(_block("k", "__n")))
+    out = out.join(small(b, BESIDE_TEXTS), (F.col("src") == F.col("__b")) & (F.col("__block") == F.col("__bb")), "left")
+    out = out.join(small(c, BESIDE_TEXTS), (F.col("src") == F.col("__c")) & (F.col("k") == F.col("__ck")), "left")
     total = F.expr("coalesce(__passes, 0L) + coalesce(__whole, 0) + coalesce(__chosen, 0)")
     return out.withColumn("__copies", total)
 

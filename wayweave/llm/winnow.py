@@ -12,7 +12,8 @@ Items of fewer than 13 words are one window of their own length and take a
 join on the hash of exactly that many words, extended in the same way.
 
 Nulls and texts without words: no words, never hit. Repeated rows of one
-doc_id are separate documents; repeated item rows count once per item_id.
+doc_id are separate documents; repeated item rows count once per item_id. Items of
+null item_id hit words, but are neither counted nor listed.
 Null doc_ids are kept. Extra columns of the inputs are ignored.
 """
 
@@ -20,14 +21,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import small, stash
+from .frames import BESIDE_TEXTS, small, stash
 
 WINDOW = 13
 K = 8
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BREAKS = "[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+"
-#: Rows of a side that may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 100_000
 KEY = ("coalesce(cast(doc_id as bigint), -9223372036854775808L) as d", "xxhash64(text, doc_id is null) as h")
 
 
@@ -62,15 +61,24 @@ def _widen(n: int, combine: str) -> list[tuple[int, str]]:
     return steps
 
 
-def grams_sql(words: str, n: int) -> str:
-    """Hashes of all n-grams of a word array, in order."""
-    return _chain(f"transform({words}, x -> xxhash64(x))", _widen(n, "xxhash64(x, y)"))
+def grams_sql(hashes: str, n: int) -> str:
+    """Hashes of all n-grams, in order, from an array of word hashes; those of fewer than WINDOW words are told apart by length."""
+    grams = _chain(hashes, _widen(n, "xxhash64(x, y)"))
+    return f"transform({grams}, g -> xxhash64({n}, g))" if n != K else grams
 
 
-def fingerprints_sql(words: str, k: int = K, window: int = WINDOW) -> str:
+def fingerprints_sql(hashes: str, k: int = K, window: int = WINDOW) -> str:
     """Winnowed fingerprints (distinct least hashes); empty below `window` words."""
-    steps = _widen(k, "xxhash64(x, y)") + _widen(window - k + 1, "least(x, y)")
-    return _chain(f"transform({words}, x -> xxhash64(x))", steps, "array_distinct({})")
+    return _chain(hashes, _widen(k, "xxhash64(x, y)") + _widen(window - k + 1, "least(x, y)"), "array_distinct({})")
+
+
+def _each(words: str, parts: list[str]) -> str:
+    """One array of several (of the word hashes `hs`), with the words cut and hashed once."""
+    return _let(f"transform({words}, x -> xxhash64(x))", "hs", parts[0] if len(parts) == 1 else f"flatten(array({', '.join(parts)}))")
+
+
+def _placed(hashes: str) -> str:
+    return f"transform({hashes}, (f, i) -> named_struct('pos', i, 'fp', f))"
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
@@ -89,37 +97,27 @@ def find_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_id being null; equal rows share a key and so a result.
     """
     items = stash(_item_windows(benchmark))
-    lengths = [r.n for r in items.where(f"n < {WINDOW}").select("n").distinct().collect()]  # 12 values at most
-    totals = items.agg(F.count("*").alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    fits = totals.c <= BROADCAST_ROWS and totals.n <= 10 * BROADCAST_ROWS
-    side = F.broadcast if fits else (lambda df: df)
+    short = sorted(r.n for r in items.where(f"n < {WINDOW}").select("n").distinct().collect())  # 12 values at most
+    side = lambda df: small(df, BESIDE_TEXTS)
     words = words_sql("text")
     keyed = documents.selectExpr(*KEY, "text")
 
-    # 1. fingerprints of documents that are fingerprints of an item
-    found = None
-    for n in [WINDOW, *sorted(lengths)]:
-        prints = fingerprints_sql if n == WINDOW else (lambda w, n=n: grams_sql(w, n))
-        own = items.where(f"n >= {n}" if n == WINDOW else f"n = {n}")
-        own = own.selectExpr(f"explode_outer({prints('words')}) as fp").where("fp is not null").distinct()
-        hits = keyed.selectExpr("d", "h", f"explode_outer({prints(words)}) as fp").join(side(own), "fp", "left_semi").select("d", "h")
-        found = hits if found is None else found.unionByName(hits)
+    # 1. documents with a fingerprint of an item, or with as many words as a short item has, and the same: one pass
+    longer, shorter = items.where(f"n >= {WINDOW}"), items.where(f"n < {WINDOW}")
+    anchors = longer.selectExpr("item_key", _each("words", [fingerprints_sql("hs")]) + " as fps", "inline(" + _each("words", [_placed(grams_sql("hs", K))]) + ")").where("array_contains(fps, fp)").select("item_key", "pos", "fp")
+    for n in short:
+        anchors = anchors.unionByName(shorter.where(f"n = {n}").selectExpr("item_key", "inline(" + _each("words", [_placed(grams_sql("hs", n))]) + ")"))
+    anchors = stash(anchors.withColumnRenamed("pos", "ipos"))
+    prints = _each(words, [fingerprints_sql("hs"), *(grams_sql("hs", n) for n in short)])
+    found = keyed.selectExpr("d", "h", f"explode({prints}) as fp").join(side(anchors.select("fp").distinct()), "fp", "left_semi").select("d", "h")
     near = stash(found.distinct())
     near_words = stash(
-        keyed.join(small(near, BROADCAST_ROWS), ["d", "h"], "left_semi").dropDuplicates(["d", "h"]).selectExpr("d", "h", f"{words} as dw")
+        keyed.join(side(near), ["d", "h"], "left_semi").dropDuplicates(["d", "h"]).selectExpr("d", "h", f"{words} as dw")
     )
 
     # 2. diagonals on which a fingerprint of an item lies
-    lines = None
-    for n in [WINDOW, *sorted(lengths)]:
-        k = K if n == WINDOW else n
-        own = items.where(f"n >= {n}" if n == WINDOW else f"n = {n}")
-        prints = fingerprints_sql if n == WINDOW else (lambda w, n=n: grams_sql(w, n))
-        own = own.selectExpr("item_key", f"{prints('words')} as fps", f"posexplode_outer({grams_sql('words', k)}) as (ipos, fp)")
-        own = own.where("array_contains(fps, fp)").select("item_key", "ipos", "fp")
-        at = near_words.selectExpr("d", "h", f"posexplode_outer({grams_sql('dw', k)}) as (pos, fp)")
-        line = at.join(side(own), "fp").selectExpr("d", "h", "item_key", "pos - ipos as line")
-        lines = line if lines is None else lines.unionByName(line)
+    spots = _each("dw", [_placed(grams_sql("hs", K)), *(_placed(grams_sql("hs", n)) for n in short)])
+    lines = near_words.selectExpr("d", "h", f"inline({spots})").join(side(anchors), "fp").selectExpr("d", "h", "item_key", "pos - ipos as line")
     lines = stash(lines.distinct())
 
     # 3. extension: runs of equal words on a diagonal, as long as a window
@@ -143,7 +141,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = (covered.select("d", "h", "item_key", "item_ids").dropDuplicates(["d", "h", "item_key"])
            .selectExpr("d", "h", "explode(item_ids) as item_id").groupBy("d", "h")
            .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
-    return n_hit.join(ids, ["d", "h"])
+    return n_hit.join(ids, ["d", "h"], "left").withColumn("item_ids", F.expr("coalesce(item_ids, cast(array() as array<string>))"))
 
 
 def decontamination_report(documents: DataFrame, benchmark: DataFrame, factor: int = 20) -> DataFrame:
@@ -151,7 +149,7 @@ def decontamination_report(documents: DataFrame, benchmark: DataFrame, factor: i
 
     Contaminated: n_hit > 0 and factor * n_hit >= n_words.
     """
-    hits = small(stash(find_hits(documents, benchmark)), BROADCAST_ROWS)
+    hits = small(stash(find_hits(documents, benchmark)), BESIDE_TEXTS)
     return (
         documents.selectExpr("doc_id", *KEY, f"cast(coalesce(size({words_sql('text')}), 0) as bigint) as n_words")
         .withColumn("n_words", F.greatest("n_words", F.lit(0))).join(hits, ["d", "h"], "left")
@@ -167,9 +165,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, factor: int = 20)
     hits = find_hits(documents, benchmark)
     words = documents.selectExpr(*KEY, "text")
     bad = stash(
-        words.join(small(stash(hits.select("d", "h", "n_hit")), BROADCAST_ROWS), ["d", "h"])
+        words.join(small(stash(hits.select("d", "h", "n_hit")), BESIDE_TEXTS), ["d", "h"])
         .where(f"{factor} * n_hit >= size({words_sql('text')})").selectExpr("d as __bad_d", "h as __bad_h").distinct()
     )
     d, h = (F.expr(x.rsplit(" as ", 1)[0]) for x in KEY)
-    bad = small(bad, BROADCAST_ROWS)
+    bad = small(bad, BESIDE_TEXTS)
     return documents.join(bad, (d == bad["__bad_d"]) & (h == bad["__bad_h"]), "left_anti")
