@@ -15,7 +15,7 @@ def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op1_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.fingerprint_with_neighbours(table(spark, sf_dir, "documents"))
+    return edit_embedding.fingerprints_and_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op8_temperature_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("version")
 
 
 def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
