@@ -1,6 +1,7 @@
 """Brute-force and edge-case tests of the corpus operators (small fixtures)."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -55,41 +56,127 @@ def test_edit_embedding_tells_edits_from_other_texts():
     assert ee.likeness(*ee.fingerprints(["", ""])) == 1
 
 
-def test_edit_embedding_query_columns(spark):
-    rows = [r for r in ODD if r[0] is not None]
-    out = ee.fingerprint_with_neighbours(docs(spark, rows, True)).collect()
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: r)
-    want = sorted((i, len(t), hashlib.sha256(ee.edited(t, order[(n + 1) % len(order)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(order))
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == want
-    texts = dict(order)
-    for r in out:
-        assert r.fingerprint == ee.fingerprints([texts[r.doc_id]])[0]
-    for n, (i, t) in enumerate(order):
-        e = ee.edited(t, order[(n + 1) % len(order)][1])
-        assert any(r.edited_fingerprint == ee.fingerprints([e])[0] for r in out if r.doc_id == i)
-    assert ee.fingerprint_with_neighbours(docs(spark, ODD).limit(0)).count() == 0
-    one = ee.fingerprint_with_neighbours(docs(spark, [(7, "abcdefgh")])).first()
-    assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+def _ranges(spark, monkeypatch):
+    monkeypatch.setattr(ee, "width", lambda _: 5)
+    monkeypatch.setattr(ee, "SPREAD_ROWS", 3)
 
 
-def test_edit_embedding_pairs(spark):
-    t = " ".join(words(300, 8))
-    got = {(r.a, r.b) for r in ee.near_pairs(docs(spark, [(1, t), (2, t), (3, t[:-4] + "q"), (4, " ".join(words(300, 9)))])).collect()}
-    assert (1, 2) in got and (1, 3) in got and not any(4 in p for p in got)
+def test_edit_embedding_query_columns(spark, monkeypatch):
+    _ranges(spark, monkeypatch)
+    rows = [*ODD, *((7, f"text {i} of a common doc_id") for i in range(30)), *[(8, "equal rows")] * 8, *((None, f"n{i}") for i in range(9)), *((i, f"t {i}") for i in range(100, 130))]
+    table = docs(spark, rows, True)
+    out = ee.fingerprint_with_neighbours(table).collect()
+    order = [(r.doc_id, r.text or "") for r in table.selectExpr("doc_id", "text", "xxhash64(text) as x").orderBy("doc_id", "x").collect()]
+    prints = dict(zip((t for _, t in order), ee.fingerprints([t for _, t in order])))
+    want = []
+    for n, (i, t) in enumerate(order):
+        after = order[(n + 1) % len(order)][1]
+        e = ee.edited(t, after)
+        print_e = ee.fingerprints([e])[0]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), prints[t], print_e, ee.likeness(prints[t], print_e), ee.likeness(prints[t], prints[after])))
+    assert sorted((tuple(r) for r in out), key=repr) == sorted(want, key=repr)
+    assert ee.fingerprints_and_classes(docs(spark, ODD).limit(0)).count() == 0
+    one = ee.fingerprints_and_classes(docs(spark, [(7, "abcdefgh")])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and (one.representative, one.near_representative) == (7, 1.0)
+
+
+def _near_texts():
+    """Texts of many lengths with edited copies; of long ones also such as differ only in the first chunk."""
+    r, rows = random.Random(12), []
+    for n in range(150):
+        size = r.choice([3, 10, 25, 60, 150, 400, 1200])
+        w = words(size, 300 + n)
+        rows.append(" ".join(w))
+        for _ in range(r.randrange(4)):
+            v = list(w)
+            for _ in range(r.choice([0, 1, 1, 2, 1 + size // 40])):
+                v[r.randrange(len(v))] = f"z{r.randrange(10**6)}"
+            rows.append(" ".join(v))
+    for n in range(12):
+        body = " ".join(words(7000, 600 + n))[:6 * ee.CHUNK]
+        rows += [body, " ".join(words(2000, 700 + n))[:ee.CHUNK] + body[ee.CHUNK:]]
+    return list(enumerate(rows))
+
+
+def test_edit_embedding_classes_against_brute_force(spark):
+    rows = _near_texts()
+    prints = ee.fingerprints([t for _, t in rows])
+    true = [(i, j) for i in range(len(rows)) for j in range(i) if ee.likeness(prints[i], prints[j]) >= ee.NEAR]
+    got = {r.doc_id: (r.representative, r.near_representative) for r in ee.fingerprints_and_classes(docs(spark, rows, True)).collect()}
+    found = sum(got[i][0] == got[j][0] for i, j in true)
+    long = [(i, j) for i, j in true if len(rows[i][1]) > ee.CHUNK]
+    assert len(true) > 200 and found >= 0.95 * len(true)
+    assert len(long) >= 12 and all(got[i][0] == got[j][0] for i, j in long)
+    root = list(range(len(rows)))
+    for i, j in true:
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root] if a != b else root
+    for i, (rep, near) in got.items():  # nothing is joined that brute force keeps apart
+        assert root[rep] == root[i] and rep <= i and near == pytest.approx(ee.likeness(prints[i], prints[rep]))
 
 
 # 2 hash tree ----------------------------------------------------------------
 
-def test_hash_tree_moves_only_into_the_new_shard():
-    keys = np.arange(40_000, dtype=np.int64)
-    old = hash_tree.place(keys, [1.0] * 40)
-    assert set(old.tolist()) == set(range(40)) and np.bincount(old).std() < 60
-    for n in (41, 48, 49):
-        new = hash_tree.place(keys, [1.0] * n)
-        was = hash_tree.place(keys, [1.0] * (n - 1))
-        assert set(new[new != was].tolist()) == {n - 1}
-    light = hash_tree.place(keys, [1.0] * 5 + [0.5] + [1.0] * 34)
-    assert set(old[light != old].tolist()) == {5} and 0.35 < (light == 5).sum() / (old == 5).sum() < 0.65
+def plain_place(key, shards, racks, regions, places):
+    """The shard of a key, by plain Python."""
+    def draws(text):
+        h = hashlib.md5(text.encode()).hexdigest()
+        return [-math.log((int(h[8 * j:8 * j + 8], 16) + 0.5) / 2**32) for j in range(4)]
+
+    best = None
+    for region, rate in enumerate(regions):
+        t = 0.0
+        for turn in range(hash_tree.TURNS):
+            t += draws(f"{key}|{region}|{turn}")[0] / rate
+            rack = min(range(4), key=lambda c: (x / racks[4 * region + c], c) if (x := draws(f"{key}|racks {region}|{turn}")[c]) else c)
+            spot = min(range(4), key=lambda c: (draws(f"{key}|{region}.{rack}|{turn}")[c] / places[16 * region + 4 * rack + c], c))
+            shard = 16 * region + 4 * rack + spot
+            if shard < shards:
+                best = min(best or (t, shard), (t, shard))
+                break
+    return best[1]
+
+
+def sql_places(spark, n, tree):
+    rows = spark.range(n).selectExpr("id", "cast(id as string) as k").selectExpr("id", f"{hash_tree.shard_sql('k', tree)} as s").collect()
+    return np.array([r.s for r in sorted(rows, key=lambda r: r.id)])
+
+
+def test_hash_tree_matches_plain_python(spark):
+    r = random.Random(1)
+    for shards in (1, 5, 16, 37, 40):
+        tree = hash_tree.Tree.of([r.choice([0.5, 1.0, 2.0]) for _ in range(shards)])
+        want = [plain_place(i, shards, tree.racks, tree.regions, tree.places) for i in range(60)]
+        assert sql_places(spark, 60, tree).tolist() == want
+
+
+def test_hash_tree_confines_movement(spark):
+    n, even = 8000, [1.0] * 32
+    old = sql_places(spark, n, hash_tree.Tree.of(even))
+    for now in (34, 40, 41):
+        was, new = (sql_places(spark, n, hash_tree.Tree.of([1.0] * k)) for k in (now - 1, now))
+        assert set(new[new != was].tolist()) == {now - 1}
+    rack = sql_places(spark, n, hash_tree.Tree.of([0.5, 1.5, *even[2:]]))  # the same weight of the rack
+    moved = rack != old
+    assert moved.any() and set((rack[moved] // 4).tolist()) == set((old[moved] // 4).tolist()) == {0}
+    region = sql_places(spark, n, hash_tree.Tree.of(even, racks=[2.0, 6.0, 4.0, 4.0] + [4.0] * 4))
+    moved = region != old
+    assert moved.any() and set((region[moved] // 16).tolist()) == set((old[moved] // 16).tolist()) == {0}
+    whole = sql_places(spark, n, hash_tree.Tree.of(even, regions=[16.0, 48.0]))
+    moved = whole != old
+    assert set((whole[moved] // 16).tolist()) == {1}
+    assert abs((whole // 16 == 1).mean() - 0.75) < 0.02 and abs((region // 4 == 1).sum() / (region < 16).sum() - 6 / 16) < 0.03
+    assert abs((rack == 1).sum() / (rack < 4).sum() - 1.5 / 4) < 0.05 and not (sql_places(spark, n, hash_tree.Tree.of([0.0, *even[1:]])) == 0).any()
+    with pytest.raises(ValueError):
+        hash_tree.Tree.of([0.0])
+
+
+def test_hash_tree_spreads_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(hash_tree, "SPREAD_ROWS", 7)
+    out = hash_tree.assign(docs(spark, [(1, "same")] * 50 + [(1, "other"), (None, None), (None, None)])).collect()
+    assert len(out) == 53
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
 def test_hash_tree_slots_and_sizes(spark):
@@ -132,13 +219,63 @@ def test_pseudonyms_keep_format_link_and_reverse(spark):
     assert other != new
 
 
-def test_feistel_is_a_permutation(spark):
+def plain_network(symbols, radix, kind, key=feistel.KEY):
+    """The same network in plain Python."""
+    s = list(symbols)
+    for r in range(feistel.ROUNDS):
+        seen = ",".join(str(x) for i, x in enumerate(s) if i % 2 == r % 2)
+        base = hashlib.sha256(f"{key}|{kind}|{r}|{len(s)}|{seen}".encode()).hexdigest()
+        blocks = [hashlib.sha512(f"{base}|{b}".encode()).hexdigest() for b in range((max(len(s), 1) - 1) // 64 + 1)]
+        s = [x if j % 2 == r % 2 else (x + int(blocks[j // 64][4 * (j % 64 // 2):][:4], 16)) % radix[j] for j, x in enumerate(s)]
+    return s
+
+
+def test_feistel_matches_plain_python_and_is_a_permutation(spark):
+    r = random.Random(3)
+    lists = [([r.randrange(7 + i % 5) for i in range(n)], [7 + i % 5 for i in range(n)]) for n in (1, 2, 3, 10, 64, 65, 200)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(lists)], "i int, s array<long>, z array<long>")
+    for row in df.selectExpr("i", f"{feistel.network('s', 'z', 'x')} as p", f"{feistel.network(feistel.network('s', 'z', 'x'), 'z', 'x', back=True)} as b").collect():
+        assert row.p == plain_network(*lists[row.i], "x") and row.b == lists[row.i][0]
     df = spark.range(1000).selectExpr("transform(split(lpad(cast(id as string), 3, '0'), ''), c -> cast(c as bigint)) as s")
     got = {tuple(r.p) for r in df.selectExpr(f"{feistel.network('s', 'array(10L, 10L, 10L)', 'x')} as p").collect()}
     assert len(got) == 1000
-    dates = spark.sql("select date_format(date_add(date'1900-01-01', cast(id as int)), 'yyyy-MM-dd') as m from range(73049)")
-    made = dates.selectExpr(f"{feistel._date('m', feistel.KEY, False, False)} as p").distinct()
-    assert made.count() == 73049 and made.agg({"p": "max"}).first()[0] == "2099-12-31"
+
+
+def test_dates_are_permuted_within_their_widths(spark):
+    every = spark.sql("select date_add(date'1900-01-01', cast(id as int)) as t from range(73049)")
+    shapes = {"yyyy-MM-dd": "true", "dd/MM/yyyy": "true", "dd/M/yyyy": "month(t) < 10", "d/MM/yyyy": "day(t) < 10", "d/M/yyyy": "day(t) < 10 and month(t) < 10"}
+    for shape, some in shapes.items():
+        days = every.where(some).selectExpr(f"date_format(t, '{shape}') as m")
+        made = days.selectExpr("m", f"{feistel._date('m', feistel.KEY, False, False)} as w")
+        back = made.selectExpr("m", "w", f"{feistel._date('w', feistel.KEY, True, False)} as b").selectExpr("count(*) as n", "count_if(b = m) as ok", "count(distinct w) as d").first()
+        assert back.n == back.ok == back.d, shape
+        assert made.join(days.withColumnRenamed("m", "w"), "w", "left_anti").isEmpty(), shape  # of the same format
+    us = spark.createDataFrame([("12/31/1999",), ("1/31/2000",), ("2/30/2000",)], "m string").selectExpr("m", f"{feistel._date('m', feistel.KEY, False, True)} as w").collect()
+    assert us[2].w == "2/30/2000" and len(us[1].w) == 9 and us[0].w != us[0].m
+
+
+def test_pseudonyms_of_any_text_reverse(spark):
+    r = random.Random(9)
+    ssn = [f"{r.randrange(1, 900):03}-{r.randrange(1, 100):02}-{r.randrange(1, 10000):04}" for _ in range(300)]
+    ssn = [x for x in ssn if not x.startswith("666")]
+    others = ["+44 20 7946 0958", "+1 (555) 010-9999", "+49-30-901820", "DEADBEEF" * 4, "deadbeef" * 4, "DEADBEEF" * 5 + "x", "010.1.1.1", "3/4/2020 and 03/04/2020, 31/4/2020", "+44 1 2",
+              "a" * 3000 + "@x.org", "x" * 200_000, "1" * 40]
+    rows = [*enumerate([*ssn, *others]), (None, ssn[0]), (None, None), (0, ssn[0]), (900, "")]
+    df = docs(spark, rows, True)
+    made = feistel.pseudonyms(df)
+    out = [(r.doc_id, r.text) for r in made.collect()]
+    back = [(r.doc_id, r.text) for r in feistel.pseudonyms(made, back=True).collect()]
+    assert sorted(back, key=repr) == sorted(rows, key=repr)
+    by = dict((i, t) for i, t in out if i is not None)
+    n = len(ssn)
+    import re
+
+    assert all(by[i] != t and re.fullmatch(r"\d{3}-\d\d-\d{4}", by[i]) for i, t in enumerate(ssn)) and len({by[i] for i in range(n)}) == len(set(ssn))
+    assert re.fullmatch(r"\+44 \d\d \d{4} \d{4}", by[n]) and by[n] != others[0] and re.fullmatch(r"\+49-\d\d-\d{6}", by[n + 2])
+    assert by[n + 3] == by[n + 4].upper() != others[3] and [by[n + k] for k in (5, 6, 8, 10)] == [others[k] for k in (5, 6, 8, 10)]
+    assert re.fullmatch(r"\d/\d/\d{4} and \d\d/\d\d/\d{4}, 31/4/2020", by[n + 7])
+    assert [t for i, t in out if i is None and t] == [by[0]]
+    assert feistel.pseudonyms(df.limit(0)).count() == 0
 
 
 # 4 BagMinHash ---------------------------------------------------------------
@@ -209,14 +346,16 @@ def test_settling_finds_links_that_leaders_miss(spark):
     how = banding.Likeness(0.75, 4, lambda t: set(t.split()), lambda a, b, t: len(a & b) / len(a | b) >= t)
     items = spark.createDataFrame([(i, [1], b"abcd") for i in range(30)], "id long, bands array<long>, sketch binary")
     table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = {r.id: r.root for r in banding.classes(items, lambda ids: table.join(ids.distinct(), "id"), how).collect()}
-    assert got == {i: 0 for i in range(30)}
+    for by_bucket in (False, True):
+        got = {r.id: r.root for r in banding.classes(items, lambda ids: table.join(ids.distinct(), "id"), how, by_bucket).collect()}
+        assert got == {i: 0 for i in range(30)}
 
 
 def test_components(spark):
     path = [(i, i + 1) for i in range(100)]
-    got = {r.id: r.root for r in frames.components(spark.createDataFrame([*path, (200, 300), (300, 250), (7, 7)], "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(101)} | {200: 200, 250: 200, 300: 200}
+    for few in (0, 10, 1000):
+        got = {r.id: r.root for r in frames.components(spark.createDataFrame([*path, (200, 300), (300, 250), (7, 7)], "a long, b long"), few=few).collect()}
+        assert got == {i: 0 for i in range(101)} | {200: 200, 250: 200, 300: 200}
     assert frames.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -292,7 +431,7 @@ def _brute_hits(rows, items):
     for i, t in items:
         w = cut(t)
         for s in range(max(1, len(w) - 12) if w else 0):
-            wins.setdefault(tuple(w[s:s + 13]), set()).add(str(i))
+            wins.setdefault(tuple(w[s:s + 13]), set()).update([str(i)] if i is not None else [])
     out = []
     for i, t in rows:
         w, hit, ids = cut(t), set(), set()
@@ -305,11 +444,23 @@ def _brute_hits(rows, items):
     return out
 
 
+def test_winnowing_scans_documents_once_to_find_candidates(spark, monkeypatch):
+    plans = []
+    real = winnow.stash
+    monkeypatch.setattr(winnow, "stash", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    bench = spark.createDataFrame([(n, " ".join(words(n, n))) for n in range(1, 20)], "item_id long, text string")
+    rows = docs(spark, [(1, " ".join(words(50, 5)))]).repartition(2)
+    marked = rows.selectExpr("doc_id", "text", "'scan-marker' as m").where("m = text or doc_id > 0")
+    winnow.find_hits(marked, bench)
+    (found,) = [p for p in plans if "left_semi" in p.lower().replace("leftsemi", "left_semi") and "Generate explode" in p]
+    assert found.count("RepartitionByExpression") + found.count("Repartition ") == 1
+
+
 def test_winnowing_matches_brute_force(spark):
     item = words(40, 11)
-    items = [(1, " ".join(item)), (2, "Alpha beta"), (3, None), (4, ""), (5, "a a a a a a a a a a a a a a a"), (6, " ".join(item)), (1, " ".join(item)), (7, " ".join(words(13, 12)))]
+    items = [(1, " ".join(item)), (2, "Alpha beta"), (3, None), (4, ""), (5, "a a a a a a a a a a a a a a a"), (6, " ".join(item)), (1, " ".join(item)), (7, " ".join(words(13, 12))), (None, " ".join(words(20, 17))), (None, "gamma"), (8, "gamma"), (9, "one two three four five")]
     rows = ODD + [(20, " ".join(words(50, 13) + item[5:20] + words(40, 14))), (21, " ".join(item[:12])), (22, "x ALPHA, Beta y"), (23, "a " * 40), (24, " ".join(item[20:33]).upper()),
-                  (25, " ".join(words(13, 12))), (26, " ".join(item[27:] + item[:13])), (27, " ".join(words(4000, 15) + item)), (20, "other text alpha beta")]
+                  (25, " ".join(words(13, 12))), (26, " ".join(item[27:] + item[:13])), (27, " ".join(words(4000, 15) + item)), (20, "other text alpha beta"), (28, " ".join(words(20, 17))), (29, "Gamma, gamma"), (30, "one two three four five six")]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as d", "2 as words")
     got = winnow.decontamination_report(docs(spark, rows, True), bench).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
@@ -360,74 +511,98 @@ def test_paragraph_bands_are_tuned():
     assert 1 - (1 - 0.8**r) ** b >= paragraphs.RECALL and 1 - (1 - 0.8 ** (r + 1)) ** (paragraphs.HASHES // (r + 1)) < paragraphs.RECALL
 
 
-def test_repeated_passages(spark):
-    para, inner = " ".join(words(60, 21)), words(70, 22)
-    near = para.split()
-    near[30] = "changed"
-    rows = [(1, "short line\n" + para + "\nrest " + " ".join(words(30, 23))), (2, " ".join(words(25, 24)) + "\n" + " ".join(near)), (3, " ".join(words(80, 25) + inner + words(80, 26))),
-            (4, " ".join(words(7, 27) + inner + words(300, 28))), (5, " ".join(words(500, 29))), (6, "short line"), (7, None), (8, ""), (None, para)]
-    got = paragraphs.repeated(docs(spark, rows, True)).collect()
-    by = {}
-    for r in got:
-        by.setdefault((r.doc_id, r.kind), []).append(r)
-    assert set(by) == {(1, "paragraph"), (2, "paragraph"), (3, "passage"), (4, "passage")}
-    assert not by[1, "paragraph"][0].removed and by[2, "paragraph"][0].removed and by[1, "paragraph"][0].class_id == by[2, "paragraph"][0].class_id
-    assert not by[3, "passage"][0].removed and by[4, "passage"][0].removed
-    texts = dict(rows)
-    r = by[2, "paragraph"][0]
-    assert texts[2].encode()[r.start:r.stop].decode() == " ".join(near)
-    for d in (3, 4):
-        r = by[d, "passage"][0]
-        found = texts[d].encode()[r.start:r.stop].decode()
-        assert found in " ".join(inner) and len(found.split()) >= paragraphs.K
-    assert paragraphs.repeated(docs(spark, rows).limit(0)).count() == 0
+def _cut_words(text):
+    import re
+
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-def test_paragraphs_from_twenty_words_on(spark):
-    exact, near = words(20, 31), words(39, 32)
-    rows = [(1, " ".join(exact) + "\n" + " ".join(near)), (2, "x\n" + " ".join(exact)), (3, " ".join(near[1:]) + "\n" + " ".join(words(90, 33))), (4, " ".join(words(30, 34)))]
-    got = sorted((r.doc_id, r.n_words, r.kind, r.first_doc, r.removed) for r in paragraphs.repeated(docs(spark, rows)).collect())
-    assert got == [(1, 20, "paragraph", 1, False), (1, 39, "paragraph", 1, False), (2, 20, "paragraph", 1, True), (3, 38, "paragraph", 1, True)]
-
-
-def test_passages_are_reported_whole_and_by_source(spark):
-    one, two = words(60, 41, 10**6), words(55, 42, 10**6)
-    rows = [(1, " ".join(words(40, 43) + one[10:35] + words(70, 44))), (2, " ".join(words(33, 45) + two + words(9, 46))), (3, " ".join(words(80, 47) + one + two[:52] + words(50, 48))),
-            (4, " ".join(words(12, 49) + one + words(31, 50)))]
-    found = {}
-    for r in paragraphs.repeated(docs(spark, rows)).where("kind = 'passage'").collect():
-        text = dict(rows)[r.doc_id].encode()[r.start:r.stop].decode().split()
-        assert len(text) == r.n_words and r.removed == (r.doc_id > r.first_doc)
-        found[r.doc_id, r.first_doc] = text
-    assert found[3, 3] == found[4, 3] == one
-    assert found[2, 2] == found[3, 2] == two[:52]
-    assert all(t == one[10:35] for (_, f), t in found.items() if f == 1)
-
-
-def test_every_shared_fifty_words_is_covered(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id is not null")
-    texts, grams, cut = {r.doc_id: r.text or "" for r in df.collect()}, {}, {}
-    for i, t in texts.items():
-        raw = np.frombuffer(t.encode(), np.uint8)
-        off = np.array([0, len(raw)])
-        w = tx.words(raw, off)[0].tolist() if len(raw) else []
-        cut[i] = w, paragraphs._extents(raw, off) if len(raw) else None
-        for s in range(len(w) - 49):
-            grams.setdefault(tuple(w[s:s + 50]), set()).add(i)
-    spans = {}
-    for r in paragraphs.repeated(df).where("kind = 'passage'").collect():
-        spans.setdefault(r.doc_id, []).append((r.start, r.stop, r.removed))
-    n = 0
-    for i, (w, ends) in cut.items():
-        for s in range(len(w) - 49):
-            who = grams[tuple(w[s:s + 50])]
+def brute_passages(rows, length=paragraphs.LENGTH):
+    """Spans (doc_id, start, n_words, removed) of the words in runs that several documents have."""
+    texts = {(i if i is not None else paragraphs.NO_ID, tuple(_cut_words(t))) for i, t in rows}
+    has = {}
+    for i, w in texts:
+        for s in range(len(w) - length + 1):
+            has.setdefault(w[s:s + length], set()).add(i)
+    out = []
+    for i, w in texts:
+        state = [0] * (len(w) + 1)
+        for s in range(len(w) - length + 1):
+            who = has[w[s:s + length]]
             if len(who) > 1:
-                n += 1
-                assert any(a <= ends[0][s] and b >= ends[1][s + 49] and (gone or i == min(who)) for a, b, gone in spans.get(i, []))
-    assert n
+                for p in range(s, s + length):
+                    state[p] = max(state[p], 2 if min(who) < i else 1)
+        a = 0
+        for p in range(1, len(w) + 1):
+            if state[p] != state[a]:
+                if state[a]:
+                    out.append((i if i != paragraphs.NO_ID else None, a, p - a, state[a] == 2))
+                a = p
+    return sorted(out, key=repr)
+
+
+def found_passages(spark, rows):
+    got = paragraphs.repeated(docs(spark, rows, True)).where("kind = 'passage'").collect()
+    return sorted(((r.doc_id, r.start, r.n_words, r.removed) for r in got), key=repr)
+
+
+def test_passages_match_brute_force(spark):
+    u, v = words(120, 41, 10**6), words(55, 42, 10**6)
+    rows = [(1, " ".join(u[:60])), (5, " ".join(words(9, 43) + u + words(70, 44))), (9, " ".join(u[40:])), (11, " ".join(words(33, 45) + v + words(9, 46))),
+            (12, " ".join(words(80, 47) + u[:60] + v[:52] + words(50, 48))), (13, " ".join(v[:49])), (None, " ".join(v + u[50:])), (None, " ".join(v)), (14, "a " * 300), (15, "a " * 90),
+            (5, " ".join(u[:60])), (16, " ".join(words(30_000, 2) + v)), *ODD]
+    r, base = random.Random(3), words(400, 49, 10**6)
+    for i in range(40):  # near copies: chains of overlapping runs
+        a = r.randrange(200)
+        w = base[a:a + r.randrange(60, 250)]
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = f"z{r.randrange(9)}"
+        rows.append((100 + i, " ".join(w)))
+    want = brute_passages(rows)
+    assert found_passages(spark, rows) == want
+    texts = {i: _cut_words(t) for i, t in rows if i and i >= 100}
+    kept = {tuple(texts[i][s:s + n]) for i, s, n, gone in want if i in texts and not gone}
+    assert all(sum(w in span for span in kept) for i, s, n, _ in want if i in texts for w in texts[i][s:s + n])  # no word is removed everywhere
+
+
+def test_repeated_paragraphs(spark):
+    para, twenty = words(60, 21), words(20, 31)
+    near = [*para[:30], "changed", *para[31:]]
+    rows = [(1, "short line\n" + " ".join(para) + "\nrest " + " ".join(words(30, 23))), (2, " ".join(words(25, 24)) + "\n" + " ".join(near)), (3, " ".join(twenty)), (4, "x y\n" + " ".join(twenty).upper()),
+            (6, "short line"), (7, None), (8, ""), (None, "\n\n" + " ".join(twenty)), (4, "x y\n" + " ".join(twenty).upper()), (9, " ".join(words(19, 32))), (10, " ".join(words(19, 32)))]
+    got = paragraphs.repeated(docs(spark, rows, True)).where("kind = 'paragraph'").collect()
+    assert sorted(((r.doc_id, r.start, r.n_words, r.first_doc, r.first_start, r.removed) for r in got), key=repr) == sorted(
+        [(1, 2, 60, 1, 2, False), (2, 25, 60, 1, 2, True), (None, 0, 20, None, 0, False), (3, 0, 20, None, 0, True), (4, 2, 20, None, 0, True)], key=repr)
+    assert paragraphs.repeated(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_every_passage_of_fifty_words_is_seen():
+def test_near_paragraphs_match_brute_force(spark):
+    r, bases, rows = random.Random(8), [words(n, 90 + n) for n in (20, 34, 60, 150)], []
+    for i in range(200):
+        w = list(r.choice(bases))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[j:j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {x.doc_id: x.first_doc for x in paragraphs.repeated(docs(spark, rows)).where("kind = 'paragraph'").collect()}
+    assert got == {i: c for i, c in enumerate(root) if root.count(c) > 1}
+
+
+def test_cutting_repeats_out(spark):
+    para, front, back = " ".join(words(60, 21)), " ".join(words(80, 22)), " ".join(words(80, 23))
+    df = docs(spark, [(1, "Über:\n" + para), (2, f"{front}, ({para}) {back}!"), (3, para), (4, None), (5, "")], True)
+    out = {r.doc_id: r.text for r in paragraphs.without_repeats(df, paragraphs.repeated(df)).collect()}
+    assert out == {1: "Über:\n" + para, 2: f"{front}, () {back}!", 3: "", 4: None, 5: ""}
+    assert paragraphs.without_repeats(df, paragraphs.repeated(df)).columns == df.columns
+
+
+def test_equal_runs_share_an_anchor():
     r = random.Random(4)
     for trial in range(40):
         common = words(50, 1000 + trial, 10**6)
@@ -435,8 +610,11 @@ def test_every_passage_of_fifty_words_is_seen():
         found = []
         for pre, post in (sides[:2], sides[2:]):
             raw = " ".join(pre + common + post).encode()
-            found.append(set(paragraphs.winnow(*tx.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))[1].tolist()))
-        assert found[0] & found[1]
+            places, lo, hi, h = paragraphs.anchors(*tx.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+            assert np.array_equal(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)]), np.arange(len(pre) + len(post) + 1))
+            at = int(np.flatnonzero((lo <= len(pre)) & (hi >= len(pre)))[0])
+            found.append((int(h[at]), int(places[at]) - len(pre)))
+        assert found[0] == found[1]
 
 
 # 10 chat --------------------------------------------------------------------

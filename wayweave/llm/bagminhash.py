@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import text as tx
 from .banding import Likeness, classes
-from .frames import small, stash
+from .frames import BESIDE_TEXTS, small, stash
 
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
@@ -151,7 +151,7 @@ def _text_classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, Da
     how = Likeness(threshold, M, bag, lambda a, b, t: overlap(a, b) >= t)
     by_text = hashed.select(F.col("h1").alias("id"), "text")
     roots = classes(reps.select(F.col("h1").alias("id"), "bands", "sketch"),
-                    lambda ids: by_text.join(small(stash(ids.distinct()), 1_000_000), "id", "left_semi").distinct(), how)
+                    lambda ids: by_text.join(small(stash(ids.distinct()), BESIDE_TEXTS), "id", "left_semi").distinct(), how)
 
     named = stash(copies.join(roots, F.col("h1") == F.col("id"), "left").select("h1", "h2", "rep", F.coalesce("root", "h1").alias("root")))
     least = stash(named.groupBy("root").agg(F.min(F.struct(F.col("rep").alias("id"), "h1", "h2")).alias("keep")))
@@ -174,7 +174,7 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     text = F.coalesce("text", F.lit(""))
 
     def of(some: DataFrame) -> tuple[DataFrame, Column]:
-        some = small(stash(some.select(*(F.col(c).alias(f"__{c}") for c in ("id", "h1", "h2")))), 1_000_000)
+        some = small(stash(some.select(*(F.col(c).alias(f"__{c}") for c in ("id", "h1", "h2")))), BESIDE_TEXTS)
         return some, (F.col("doc_id").cast("long") == some["__id"]) & (F.xxhash64(text) == some["__h1"]) & (F.xxhash64(F.lit(1), text) == some["__h2"])
 
     kept = documents.join(*of(seen.where("gone")), "left_anti")

@@ -7,13 +7,14 @@ the leaders failed could still be linked to each other or to other members.
 That rest is settled exactly: items that share a bucket across classes form
 groups, and in each group all items outside its largest class are compared with
 the whole group, block against block. Nothing is capped; only sketches that rule
-a pair out (by MARGIN_SIGMAS standard deviations) spare it the exact comparison.
+a pair out (by MARGIN_SIGMAS standard deviations) spare it the exact comparison,
+and only items of which a pair is not ruled out have their texts sent.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,21 +22,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import components, small, stash
+from .frames import BESIDE_TEXTS, components, discard, small, stash
 
-BROADCAST_ROWS = 1_000_000
 MARGIN_SIGMAS = 4.5
-QUERY_BLOCK, GROUP_BLOCK = 256, 1024
+QUERY_BLOCK, GROUP_BLOCK = 64, 256
 
 
 @dataclass(frozen=True)
 class Likeness:
-    """How two texts are compared: a bag made of each, and a test of two bags (given the sketch length and threshold)."""
+    """How two texts are compared: a bag made of each, and a test of two bags (given the threshold).
+
+    sketch is the length of the items' sketches (0: they have none), many a test of
+    one bag against several, prepared once, if there is a faster one than their pairs'.
+    """
 
     threshold: float
     sketch: int
-    bag: Callable[[str], Any]
+    bag: Callable[[Any], Any]
     alike: Callable[[Any, Any, float], bool]
+    many: Callable[[list, float], Callable[[Any], np.ndarray]] | None = None
 
     def least_equal(self) -> float:
         """Equal sketch bytes below which a pair is ruled out."""
@@ -49,7 +54,7 @@ class _Bags:
     def __init__(self, how: Likeness, limit: int = 4_000_000):
         self.how, self.limit, self.held, self.kept = how, limit, 0, OrderedDict()
 
-    def __call__(self, key: int, text: str):
+    def __call__(self, key: int, text: str | bytes):
         at = (key, hash(text))
         if at not in self.kept:
             self.kept[at] = (self.how.bag(text), len(text))
@@ -78,64 +83,112 @@ def true_pairs(pairs: DataFrame, items: DataFrame, texts_of: Callable[[DataFrame
             ok = [how.alike(bags(a, s), bags(b, t), how.threshold) for a, b, s, t in rows]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sa, sb = (items.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    near = stash(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long"))
+    near = pairs
+    if how.sketch:
+        sa, sb = (items.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        near = stash(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(likely, "a long, b long"))
     own = stash(texts_of(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
     ta, tb = (own.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     return near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verified, "a long, b long")
 
 
-def _settle(rest: DataFrame, how: Likeness) -> DataFrame:
-    """Links between items of one group and different roots, from rows (grp, id, root, sketch, text)."""
+_BLOCK = ["grp", "q", "g"]
+_OWN = "grp long, q long, g long, asks boolean, id long, root long, minor boolean"
+
+
+def _settle(rest: DataFrame, items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], how: Likeness) -> DataFrame:
+    """Links between items of one group and different roots, from rows (grp, id, root).
+
+    If there are sketches they alone are dealt to the blocks first; texts follow only for what they don't rule out.
+    """
     by_root = rest.groupBy("grp", "root").agg(F.count("*").alias("n"))
     groups = stash(by_root.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
                    .select("grp", F.col("top.root").alias("top"), F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK)).cast("long").alias("nq"),
                            F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_BLOCK)).cast("long").alias("ng")))
-    sized = rest.join(small(groups, BROADCAST_ROWS), "grp")
+    extra = "sketch" if how.sketch else "text"
+    own = items.select("id", "sketch") if how.sketch else stash(texts_of(rest.select("id")))
+    sized = rest.join(own, "id").join(small(groups), "grp")
+    same = ["id", "root", (F.col("root") != F.col("top")).alias("minor"), extra]
     query = sized.where("root <> top").select(
-        "grp", F.pmod(F.xxhash64("id"), F.col("nq")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ng") - 1)).alias("g"),
-        F.lit(True).alias("asks"), "id", "root", (F.col("root") != F.col("top")).alias("minor"), "sketch", "text")
+        "grp", F.pmod(F.xxhash64("id"), F.col("nq")).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ng") - 1)).alias("g"), F.lit(True).alias("asks"), *same)
     whole = sized.select(
-        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.col("ng")).alias("g"),
-        F.lit(False).alias("asks"), "id", "root", (F.col("root") != F.col("top")).alias("minor"), "sketch", "text")
+        "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("q"), F.pmod(F.xxhash64("id"), F.col("ng")).alias("g"), F.lit(False).alias("asks"), *same)
+    blocks = query.unionByName(whole)
 
-    def block(table: pa.Table) -> pa.Table:
-        bags = _Bags(how, 20_000_000)
+    def maybe(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows that ask, and the rows of other roots that aren't ruled out by their sketches."""
         asks = np.array(table.column("asks"))
         ids, roots, minor = (np.array(table.column(c)) for c in ("id", "root", "minor"))
-        sk = _sketches(table.column("sketch"), how.sketch)
+        sk = _sketches(table.column("sketch"), how.sketch) if how.sketch else None
         them = np.flatnonzero(~asks)
-        found = []
         for x in np.flatnonzero(asks):
             # a pair of two minor items meets in both roles; it is looked at once
-            ok = (roots[them] != roots[x]) & ~(minor[them] & (ids[them] < ids[x]))
-            maybe = them[ok]
-            maybe = maybe[(sk[maybe] == sk[x]).sum(axis=1) >= how.least_equal()]
-            if len(maybe):
-                mine = bags(int(ids[x]), table.column("text")[x].as_py())
-                found += [(int(ids[x]), int(ids[y])) for y in maybe if how.alike(mine, bags(int(ids[y]), table.column("text")[y].as_py()), how.threshold)]
+            ok = them[(roots[them] != roots[x]) & ~(minor[them] & (ids[them] < ids[x]))]
+            if sk is not None:
+                ok = ok[(sk[ok] == sk[x]).sum(axis=1) >= how.least_equal()]
+            if len(ok):
+                yield x, ok
+
+    def likely(table: pa.Table) -> pa.Table:
+        need = np.zeros(table.num_rows, bool)
+        for x, ok in maybe(table):
+            need[x] = need[ok] = True
+        return table.filter(pa.array(need))
+
+    def verified(table: pa.Table) -> pa.Table:
+        """Links enough to join what the block's links join."""
+        ids, roots, texts = np.array(table.column("id")), np.array(table.column("root")), table.column("text")
+        bags, up, found = _Bags(how, 20_000_000), {}, []
+        bag = lambda i: bags(int(ids[i]), texts[int(i)].as_py())
+        every = how.many([how.bag(t) for t in texts.to_pylist()], how.threshold) if how.many else None
+
+        def find(r: int) -> int:
+            while up.setdefault(r, r) != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        for x, ok in maybe(table):
+            if every:
+                ok = ok[every(bag(x))[ok]]
+            for y in ok:
+                a, b = find(int(roots[x])), find(int(roots[y]))
+                if a != b and (every or how.alike(bag(x), bag(y), how.threshold)):
+                    up[a] = b
+                    found.append((int(ids[x]), int(ids[y])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return query.unionByName(whole).groupBy("grp", "q", "g").applyInArrow(block, "a long, b long")
+    if how.sketch:
+        near = stash(blocks.groupBy(*_BLOCK).applyInArrow(likely, f"{_OWN}, sketch binary"))
+        blocks = near.join(stash(texts_of(near.select("id"))), "id")
+    return blocks.groupBy(*_BLOCK).applyInArrow(verified, "a long, b long")
+
 
+def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], how: Likeness, by_bucket: bool = False) -> DataFrame:
+    """Rows (id, root) for every item with a link; items are rows (id, bands, sketch if there are any; without one also repeated), texts_of gives rows (id, text) for ids.
 
-def classes(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], how: Likeness) -> DataFrame:
-    """Rows (id, root) for every item with a link; items are rows (id, bands, sketch), texts_of gives rows (id, text) for ids."""
+    by_bucket: what leaders leave apart is compared bucket by bucket; else in the components of
+    shared buckets, which looks at a pair once but needs bands that unlike items rarely share.
+    """
     banded = items.select("id", F.explode("bands").alias("key"))
     buckets = stash(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"))
-    members = stash(banded.join(small(buckets, BROADCAST_ROWS), "key"))
+    members = stash(banded.join(small(buckets, BESIDE_TEXTS), "key").distinct())
     led = members.select(F.least("lo", "id").alias("a"), F.greatest("lo", "id").alias("b"))
     led = led.union(members.select(F.least("hi", "id").alias("a"), F.greatest("hi", "id").alias("b")))
     links = stash(true_pairs(stash(led.where("a < b").distinct()), items, texts_of, how))
-    roots = components(links)
-
-    placed = stash(members.select("key", "id").join(small(stash(roots), BROADCAST_ROWS), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("id").alias("first")).where("r0 < r1").select("key", "first")
-    rest = stash(placed.join(small(stash(split), BROADCAST_ROWS), "key").select("first", "id", "root").distinct())
+    roots = stash(components(links))
+
+    placed = stash(members.select("key", "id").join(small(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    # leaders have seen all pairs of up to three members
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("id").alias("first"), F.count("*").alias("n"))
+    split = split.where("r0 < r1 and n > 3").select("key", "first")
+    rest = stash(placed.join(small(stash(split)), "key").select("key", "first", "id", "root"))
+    discard(buckets, members, placed)
     if rest.isEmpty():
         return roots
-    groups = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    who = stash(rest.select("id", "root").distinct().join(groups.select("id", F.col("root").alias("grp")), "id"))
-    full = who.join(items.select("id", "sketch"), "id").join(texts_of(who.select("id")), "id")
-    more = stash(_settle(stash(full.select("grp", "id", "root", "sketch", "text")), how))
+    if by_bucket:
+        grouped = rest.select(F.col("key").alias("grp"), "id", "root")
+    else:
+        groups = components(rest.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+        grouped = rest.select("id", "root").distinct().join(groups.select("id", F.col("root").alias("grp")), "id").select("grp", "id", "root")
+    more = stash(_settle(stash(grouped), items, texts_of, how))
     return roots if more.isEmpty() else components(links.unionByName(more))

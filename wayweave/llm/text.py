@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once by the numpy kernels; a longer document is a block of its own.
 BLOCK_BYTES = 2_000_000
+#: Bytes that are cut into words at once.
+PIECE_BYTES = 4_000_000
 SHINGLE = 5
 
 _U = np.uint64
@@ -52,33 +54,64 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the row of each.
-
-    A word is a run of ASCII letters and digits and of bytes beyond ASCII; A-Z
-    count as a-z. The hash is a polynomial over the word's bytes, mixed.
-    """
-    low = _LOWER[data]
-    inside = _IN_WORD[low]
-    starts = inside.copy()
+def _edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of `inside`; runs end where a row does."""
+    starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
     first = offsets[:-1][np.diff(offsets) > 0]
     starts[first] = inside[first]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
     ends[first[1:] - 1] = inside[first[1:] - 1]
-    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    n = len(low)
-    power = np.full(n + 1, _BASE, _U)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((low.astype(_U) + _U(1)) * power[:n], out=total[1:])
-    inverse = np.full(n + 1, _BASE_INV, _U)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    hashes = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U))
-    return hashes, np.searchsorted(offsets, s, "right") - 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, bytes, offsets in it) of pieces of about PIECE_BYTES that cut no word."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(lo + PIECE_BYTES, n)
+        while hi < n:
+            gaps = np.flatnonzero(~_IN_WORD[_LOWER[data[hi:hi + PIECE_BYTES]]])
+            if len(gaps):
+                hi += int(gaps[0])
+                break
+            hi = min(hi + PIECE_BYTES, n)
+        inner = offsets[np.searchsorted(offsets, lo, "right"):np.searchsorted(offsets, hi, "left")]
+        yield lo, data[lo:hi], np.concatenate([[0], inner - lo, [hi - lo]]).astype(np.int64)
+        lo = hi
+
+
+def words_at(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the row, and the start and end byte of each.
+
+    A word is a run of ASCII letters and digits and of bytes beyond ASCII; A-Z
+    count as a-z. The hash is a polynomial over the word's bytes, mixed. Bytes are
+    handled piece by piece, so that a long text takes little more memory than its words.
+    """
+    parts = []
+    for base, raw, off in _pieces(data, offsets):
+        low = _LOWER[raw]
+        s, e = _edges(_IN_WORD[low], off)
+        n = len(low)
+        power = np.full(n + 1, _BASE, _U)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        total = np.zeros(n + 1, _U)
+        np.cumsum((low.astype(_U) + _U(1)) * power[:n], out=total[1:])
+        inverse = np.full(n + 1, _BASE_INV, _U)
+        inverse[0] = 1
+        np.multiply.accumulate(inverse, out=inverse)
+        parts.append((mix((total[e] - total[s]) * inverse[s] + (e - s).astype(_U)), s + base, e + base))
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, _U), none, none, none
+    hashes, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, np.searchsorted(offsets, s, "right") - 1, s, e
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the row of each."""
+    return words_at(data, offsets)[:2]
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +146,6 @@ def multiset(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def small_batches(spark) -> None:
-    """Fewer rows to an Arrow batch than the default: a batch of very long texts must fit a worker's memory."""
+    """Fewer rows to an Arrow batch than the default, for this session: a batch of very long texts must fit a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
