@@ -397,19 +397,61 @@ def test_language_accuracy_and_odd_texts(spark):
 # 6 licences -----------------------------------------------------------------
 
 @pytest.fixture(scope="module")
-def model(spark):
-    return licences.train(spark)
+def corpus(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def model(spark, corpus):
+    """As the query trains it."""
+    return licences.train(spark, corpus)
+
+
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+
+LICENCE_LINES = [
+    ("MIT", "Released under the MIT License."), ("Apache", "Licensed under the Apache License, Version 2.0."), ("GPL", "This work is licensed under the GNU General Public License, version 3."),
+    ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), ("MIT", "MIT License"), ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("LGPL", "It is distributed under the GNU Lesser General Public License."),
+    ("BSD", "Our code is available under the 3-clause BSD license."), ("AGPL", "The server is licensed under the GNU Affero General Public License."), ("CC0", "Dedicated to the public domain under CC0 1.0."),
+    (None, "This program is licensed under the Artistic License 2.0."), (None, "Eclipse Public License - v 2.0"), (None, "Licensed under the EUPL 1.2."), (None, "Released under the Microsoft Public License."),
+    (None, "The committee licensed the film under pressure."), (None, "The boat sailed under a foreign flag in version two of the story."), (None, "You may use this copy of the public library card."),
+    (None, "Distributed under the Boost Software License, Version 1.0."), (None, "The general public was not admitted to the release."),
+]
 
 
 def test_licence_scan(spark, model):
-    lines = {"MIT": "Released under the MIT License.", "Apache": "Licensed under the Apache License, Version 2.0.", "GPL": "This work is licensed under the GNU General Public License, version 3.",
-             "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
-    rows = [(i, "Some words before.\n" + t + "\nand after it") for i, t in enumerate(lines.values())] + [(20, "The committee licensed the film under pressure."), (21, None), (22, "")]
-    got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licences.scan(docs(spark, rows, True), model).collect()}
-    assert got == {(i, 1): (f, True) for i, f in enumerate(lines)}
+    rows = [(i, "Some words before.\n" + t + "\nand after it") for i, (_, t) in enumerate(LICENCE_LINES)]
+    rows += [(100, "Title\r\n \r\n" + MIT_TEXT + "\n\nThe end."), (101, None), (102, ""), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (103, "word " * 50_000 + "\nMIT License")]
+    found = licences.scan(docs(spark, rows, True), model).collect()
+    got = {r.doc_id: (r.family, r.paragraph, r.line, r.confirmed) for r in found}
+    assert len(found) == len(got)
+    assert got.pop(100)[:2] == ("MIT", 1) and got.pop(None) == ("MIT", 0, 0, True) and got.pop(103) == ("MIT", 0, 1, True)
+    want = {i: f for i, (f, _) in enumerate(LICENCE_LINES) if f}
+    right = sum(want.get(i) == f for i, (f, *_) in got.items())
+    assert right >= 0.9 * len(want) and right >= 0.9 * len(got)  # recall and precision
+    assert all((want.get(i) == f) for i, (f, _, _, sure) in got.items() if sure) and all(line == 1 for _, _, line, _ in got.values())
     assert licences.scan(docs(spark, rows).limit(0), model).count() == 0
 
 
+def test_licence_calibration_has_an_inner_optimum(model):
+    r = model.report
+    assert r["interior"] and r["calibration_error"] < 0.1 and r["precision"] >= 0.95 and r["recall"] >= 0.9 and r["unknown_recall"] >= 0.95
+
+
+def test_licence_model_does_not_depend_on_partitions(spark, corpus, model):
+    again = licences.train(spark, corpus.repartition(7, "text"))
+    assert again.weights == model.weights and again.biases == model.biases and again.report == model.report
+
+
+def test_other_licences_are_not_confirmed():
+    names = {f: [set(w) for g, w, _, _ in licences.templates() if g == f and w] for f in licences.NAMES}
+    for text in licences.OTHER_NAMES:
+        assert not any(w <= licences.words_of(text) for ws in names.values() for w in ws), text
+
+
 def test_licence_scoring_matches_plain_python(spark, model):
     text = "this software is released under the bsd license"
     w = text.split()
