@@ -394,6 +394,27 @@ def test_language_accuracy_and_odd_texts(spark):
     assert byteconv.known_language(docs(spark, ODD, True)).columns == docs(spark, ODD, True).columns
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(6)
+    signs = "abcdefghijklmnopqrstuvwxyz"
+    langs = {f"l{i:03}": "".join(r.sample(signs, 4)) for i in range(60)}
+    rows = [(n * 60 + i, " ".join("".join(r.choice(s) for _ in range(5)) for _ in range(60)), lang, "s") for n in range(3) for i, (lang, s) in enumerate(langs.items())]
+    df = docs(spark, rows, True)
+    taught = {x.lang for x in df.where(~byteconv.held_out()).select("lang").collect()}
+    assert set(byteconv.fit(df, rows=16).langs) == taught and len(taught) > 50
+    assert sorted(byteconv.sample(df.repartition(3), 64)) == sorted(byteconv.sample(df.repartition(5), 64))
+
+
+def test_long_texts_are_read_in_slices(monkeypatch):
+    net = byteconv.ByteConv(["a", "b", "c"])
+    raw = [" ".join(words(n, n)).encode() for n in (1, 40, 3000, 7)] + [b""]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = net.probabilities(data, at)
+    monkeypatch.setattr(byteconv, "SLICE", 3)
+    assert np.allclose(whole, net.probabilities(data, at), atol=1e-6) and np.allclose(whole[4], 1 / 3)
+    assert np.allclose(whole[2], net.probabilities(np.frombuffer(raw[2], np.uint8), np.array([0, len(raw[2])]))[0], atol=1e-6)
+
+
 # 6 licences -----------------------------------------------------------------
 
 @pytest.fixture(scope="module")

@@ -8,13 +8,14 @@ over the window and end in a softmax over the languages. A document's
 probabilities are the softmax of its windows' mean log probabilities, weighted
 by length, so the whole text counts.
 
-Training takes at most SAMPLE_ROWS labelled documents, spread evenly over the
-languages and picked by a hash of doc_id, and from each one piece of SAMPLE_CHARS
+Training takes at most 1.25 * SAMPLE_ROWS labelled documents, spread evenly over the
+languages and picked by a hash of doc_id, and one of every language that these miss, and from each one piece of SAMPLE_CHARS
 characters at a hashed place. Rows of null lang, text or doc_id teach nothing.
 
 A null text or one without a letter is `und` with score 0, and so is every text
-if no row could be learned from. Repeated rows are predicted alike; the row
-count and all other columns stay as they are.
+if no row could be learned from. Of languages of equal probability the alphabetically
+first is taken. Very long texts are read slice by slice. Repeated rows are predicted alike; the row
+count and all other columns stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import text as tx
+from .frames import small
 
 WINDOW = 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 12
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 1200
 UNKNOWN = "und"
-#: Text positions handled at once.
-SPAN = 1 << 16
+#: Text positions, and windows, handled at once.
+SPAN, SLICE = 1 << 16, 4096
 
 _CLASS = np.empty(256, np.int64)
 _CLASS[:128] = 3
@@ -145,13 +147,14 @@ class ByteConv:
             n_win = -(-size // WINDOW)
             owner = np.repeat(np.arange(hi - lo), n_win)
             start = part[:-1][owner] + WINDOW * (np.arange(len(owner)) - (np.cumsum(n_win) - n_win)[owner])
-            at = start[:, None] + np.arange(WINDOW + 3)[None, :]
-            inside = at < part[1:][owner][:, None]
-            cls = np.where(inside, _CLASS[data[np.minimum(at, max(len(data) - 1, 0))]] if len(data) else PAD, PAD)
-            logp = self.windows(cls)
-            length = np.minimum(WINDOW, part[1:][owner] - start)
-            for j in range(len(self.langs)):
-                total[lo:hi, j] = np.bincount(owner, logp[:, j] * length, minlength=hi - lo) / np.maximum(size, 1)
+            size = np.maximum(size, 1)
+            for a in range(0, len(owner), SLICE):
+                own, begin = owner[a:a + SLICE], start[a:a + SLICE]
+                at = begin[:, None] + np.arange(WINDOW + 3)[None, :]
+                stop = part[1:][own]
+                cls = np.where(at < stop[:, None], _CLASS[data[np.minimum(at, len(data) - 1)]], PAD)
+                share = np.minimum(WINDOW, stop - begin) / size[own]
+                np.add.at(total, lo + own, self.windows(cls) * share[:, None])
         p = np.exp(total - total.max(axis=1, keepdims=True, initial=-1e30))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -164,16 +167,16 @@ def held_out() -> Column:
 def sample(documents: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
     """At most `rows` labelled pieces (lang, piece), about as many for each language."""
     usable = documents.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(rows // 8).collect()}
-    if not counts:
-        return []
-    each = max(8, rows // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    each = max(8, rows // max(counts.count(), 1))
+    shares = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    picked = usable.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     start = F.lit(1) + F.floor(place * 7919 % 1 * F.greatest(F.length("text") - chars, F.lit(0)))
-    piece = F.substring("text", start.cast("int"), F.lit(chars))
-    return picked.select("lang", piece.alias("piece")).limit(rows + rows // 4).collect()
+    pieces = usable.select("doc_id", "lang", place.alias("place"), F.substring("text", start.cast("int"), F.lit(chars)).alias("piece"))
+    order = F.struct(F.xxhash64(F.lit(1), "doc_id").alias("h"), "doc_id", "piece")
+    picked = pieces.join(small(shares), "lang").where("place < share").select("lang", order.alias("o")).orderBy("o", "lang").limit(rows + rows // 4)
+    least = pieces.groupBy("lang").agg(F.min(order).alias("o"))  # one of every language at least
+    return picked.unionByName(least).distinct().select("lang", "o.piece").collect()
 
 
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> ByteConv | None:
