@@ -34,3 +34,24 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(ids[3]) <= set(ids[2]) and len(set(ids[3])) > 100
     assert ids[4] == ids[3]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == ids[4]
+
+
+def test_stages_with_odd_and_with_no_rows(spark, tmp_path):
+    rows, item = _texts()
+    odd = [*rows, (None, None, None, None), (None, "ein Satz ohne Nummer über die Schule", None, None), (None, "ein Satz ohne Nummer über die Schule", None, None), (300, "", "de", "s0"),
+           (301, "wort " * 100_000, "de", "s1"), rows[5], rows[5]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(i, t, a, s, len(t or "")) for i, t, a, s in odd], schema).selectExpr("*", "1 as id", "2 as d", "3 as h", "4 as src", "5 as k", "'x' as __guess_", "6 as shard")
+    spark.createDataFrame([(1, item), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for n, table in enumerate((df, df.limit(0))):
+        docs = table
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert i == 4 or out.columns == df.columns
+            out.write.parquet(str(tmp_path / f"{n}-{i}"))
+            docs = spark.read.schema(out.schema).parquet(str(tmp_path / f"{n}-{i}"))
+            ids = [r.doc_id for r in docs.collect()]
+            if n:
+                assert ids == []
+            elif i == 1:
+                assert ids.count(None) == ids.count(5) == ids.count(301) == 1

@@ -19,8 +19,9 @@ A pair at the threshold shares no band with probability (1 - 0.8^6)^40 < 6e-6.
 Null and empty texts are equal texts (one class). Texts without words are
 in a class only with equal texts. Texts of one to four words have a single
 shingle. Classes belong to texts: a doc_id on rows of several texts takes the
-least class of those, but does not join them; rows of null doc_id have class null.
-Extra columns are ignored.
+least class of those, but does not join them. A null doc_id comes after all others, so a
+class is named null only if no row of it has an id. Very long texts are signed whole, cut into words in pieces.
+Of repeated rows one stays; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ BANDS, ROWS = 40, 6
 M = BANDS * ROWS
 #: Arrays of points handled at once.
 POINTS = 1 << 20
+NO_ID = 2**63 - 1
 _U = np.uint64
 
 
@@ -135,13 +137,17 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(tx.shingles(words, rows, 1)[0], return_counts=True)
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def _text_classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, h1, h2) of all documents with an id, and rows (h1, h2, class_id, keep) of their texts.
+    """Rows (id, h1, h2) of all documents, and rows (h1, h2, class_id, keep) of their texts.
 
     class_id is the least doc_id of the class, keep the (id, h1, h2) that stands for it.
     """
     tx.small_batches(documents.sparkSession)
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id is not null")
+    texts = documents.select(_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     signed = stash(hashed.mapInArrow(_sign, "id long, h1 long, h2 long, bands array<long>, sketch binary"))
 
@@ -162,12 +168,12 @@ def duplicate_classes(documents: DataFrame, threshold: float = THRESHOLD) -> Dat
     """One row per document: doc_id, class_id (the least doc_id of its class)."""
     rows, named = _text_classes(documents, threshold)
     out = rows.join(named, ["h1", "h2"]).groupBy("id").agg(F.min("class_id").alias("root"))
-    none = documents.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("root").alias("class_id")).unionByName(none)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(known("id").alias("doc_id"), known("root").alias("class_id"))
 
 
 def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents (all their columns) that stand for their class: one row each; rows of null doc_id stay."""
+    """The documents (all their columns) that stand for their class: one row each."""
     rows, named = _text_classes(documents, threshold)
     seen = stash(rows.groupBy("id", "h1", "h2").count().join(named, ["h1", "h2"])
                  .select("id", "h1", "h2", (F.struct("id", "h1", "h2") != F.col("keep")).alias("gone"), (F.col("count") > 1).alias("twice")))
@@ -175,7 +181,7 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     def of(some: DataFrame) -> tuple[DataFrame, Column]:
         some = small(stash(some.select(*(F.col(c).alias(f"__{c}") for c in ("id", "h1", "h2")))), BESIDE_TEXTS)
-        return some, (F.col("doc_id").cast("long") == some["__id"]) & (F.xxhash64(text) == some["__h1"]) & (F.xxhash64(F.lit(1), text) == some["__h2"])
+        return some, (_key() == some["__id"]) & (F.xxhash64(text) == some["__h1"]) & (F.xxhash64(F.lit(1), text) == some["__h2"])
 
     kept = documents.join(*of(seen.where("gone")), "left_anti")
     twice = seen.where("twice and not gone")

@@ -1,6 +1,6 @@
 """DuckDB statements for the corpus queries that SQL can express."""
 
-from .bagminhash import THRESHOLD
+from .bagminhash import NO_ID, THRESHOLD
 from . import hash_tree as ht, paragraphs as pg
 from .mixing import BLOCK_ROWS, ENTROPY, REPEATS, SEED, STEPS
 
@@ -47,7 +47,7 @@ FROM docs LEFT JOIN pos USING (uid) LEFT JOIN ids USING (uid)
 """
 
 OP4 = f"""
-WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE texts AS (SELECT coalesce(doc_id, {NO_ID}) AS doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
 shingles AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM texts WHERE len(w) > 0)),
 bags AS (SELECT doc_id, s, count(*) AS c FROM shingles GROUP BY doc_id, s),
 sizes AS (SELECT doc_id, sum(c) AS n FROM bags GROUP BY doc_id),
@@ -56,8 +56,7 @@ links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q
   UNION SELECT a.doc_id, b.doc_id FROM texts a JOIN texts b ON a.text = b.text AND a.doc_id < b.doc_id),
 ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (SELECT doc_id, doc_id AS root FROM texts UNION SELECT y, root FROM reach JOIN ways ON x = doc_id WHERE root < y)
-SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id
-UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id IS NULL
+SELECT nullif(doc_id, {NO_ID}) AS doc_id, nullif(min(root), {NO_ID}) AS class_id FROM reach GROUP BY doc_id
 """
 
 OP9 = f"""
