@@ -33,7 +33,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .frames import stash
+from .frames import small, stash
 from .winnow import words_sql
 
 SAMPLE_ROWS = 2000
@@ -250,7 +250,7 @@ def scan(documents: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     fixed = spark.createDataFrame(templates(), "family string, ws array<string>, ps array<string>, need double").groupBy("family").agg(
         F.collect_list(F.struct("ws", "ps", "need")).alias("ts"))  # fixed notices
     share = "(size(array_intersect(t.ws, lw)) + size(array_intersect(t.ps, lp))) / (size(t.ws) + size(t.ps))"
-    joined = known.join(cand.selectExpr("doc_id", *keys, f"{words_sql('body')} as lw", f"{pairs_of(words_sql('body'))} as lp"), keys)
+    joined = cand.join(small(stash(known)), keys).selectExpr("doc_id", "paragraph", "line", "family", "probability", f"{words_sql('body')} as lw", f"{pairs_of(words_sql('body'))} as lp")
     return joined.join(F.broadcast(fixed), "family", "left").selectExpr(
         "doc_id", "paragraph", "nullif(line, -1) as line", "family", "probability", f"coalesce(array_max(transform(ts, t -> {share})), 0D) as similarity",
         f"coalesce(exists(ts, t -> {share} >= t.need), false) as confirmed")
