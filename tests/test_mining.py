@@ -113,3 +113,23 @@ def test_pair_report_and_replay(spark):
     assert got == {(0.3, "b"): "[1234000005,003000041]", (0.6, "c"): ""}
     log = spark.createDataFrame([(1, -1, -1), (2, -1, -1), (3, 2, 64), (4, 2, 64), (5, 7, 16), (6, -1, -1), (7, 99, 8)], "line_no long, k int, compress int")
     assert {(r.compress, r.k) for r in reports.replayed_lengths(log).collect()} == {(64, 2), (16, 7)}
+
+
+def test_signatures_of_any_ids_match_plain_python(spark):
+    from wayweave.functions.hashing import P, coefficients
+    from wayweave.operators import sketches as sk
+
+    ids = [0, 1, 77, P - 1, P, 2**33, 2**40 + 5, 2**63 - 1, -1, -(2**40), -(2**63)]
+
+    def mixed(o):
+        r, high = o % P, (abs(o) // P * (1 if o >= 0 else -1)) % P
+        return (((r * r % P) * r + 1013904223 * r + 12345) % P + 1664525 * high) % P
+
+    rows = [(i % 3, o) for i, o in enumerate(ids)] + [(1, 5), (1, 5)]
+    seen = spark.createDataFrame(rows, "edge_id long, obj_id long")
+    for k in (7, 300):
+        got = sk.minhash(seen, k)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        for r in got.collect():
+            own = {o for e, o in rows if e == r.edge_id}
+            assert r.n_raw == len(own) and r.sig == [min((a * mixed(o) + b) % P for o in own) for a, b in coefficients(k)]

@@ -23,11 +23,15 @@ class Stitched:
     local: DataFrame
 
 
-def common_objects(sightings: DataFrame, regions: DataFrame) -> DataFrame:
-    """region_a, region_b, n_common for ordered pairs of regions that share objects."""
+def common_objects(sightings: DataFrame, regions: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """region_a, region_b, n_common for ordered pairs of regions that share objects (of the given pairs, if any)."""
     own = sightings.join(regions, "edge_id").select("region_id", "obj_id").distinct()
-    other = own.select(F.col("region_id").alias("region_b"), "obj_id")
-    return own.withColumnRenamed("region_id", "region_a").join(other, "obj_id").where("region_a <> region_b").groupBy("region_a", "region_b").agg(F.count("*").alias("n_common"))
+    first, other = own.withColumnRenamed("region_id", "region_a"), own.select(F.col("region_id").alias("region_b"), "obj_id")
+    if pairs is not None:
+        met = first.join(small(pairs.select("region_a", "region_b").distinct()), "region_a").join(other, ["region_b", "obj_id"])
+    else:
+        met = first.join(other, "obj_id")
+    return met.where("region_a <> region_b").groupBy("region_a", "region_b").agg(F.count("*").alias("n_common"))
 
 
 def candidates(best: DataFrame, border: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def stitch(mined: Mined, sightings: DataFrame, regions: DataFrame, border: DataF
     """
     best = cut(maximal(mined.paths).where("level >= 1"))
     pairs = cut(candidates(best, border))
-    n_common = common_objects(sightings, regions)
+    n_common = common_objects(sightings, regions, border)
     objs = mined.occurrences.select(F.col("region_id").alias("region_a"), F.col("path").alias("p1"), "obj_id")
     steps = pairs.select(*_KEY, F.posexplode("p2").alias("at", "edge_id"))
     seen = objs.join(small(steps), ["region_a", "p1"]).join(sightings.distinct(), ["edge_id", "obj_id"])

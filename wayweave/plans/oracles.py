@@ -86,7 +86,7 @@ local AS (SELECT p.region_id, p.path FROM m_max p WHERE (SELECT count(*) FROM ca
 
 _HASHES = "[" + ", ".join(f"({a} * m + {b}) % {P}" for a, b in coefficients(K, SEED)) + "]"
 SKETCH = f"""
-hashed AS (SELECT edge_id, unnest({_HASHES}) AS h, unnest(range({K})) AS pos FROM (SELECT edge_id, {premix('obj_id')} AS m FROM seen)),
+hashed AS (SELECT edge_id, unnest({_HASHES}) AS h, unnest(range({K})) AS pos FROM (SELECT edge_id, {premix('obj_id', '//')} AS m FROM seen)),
 lows AS (SELECT edge_id, pos, min(h) AS h, count(*) AS n_raw FROM hashed GROUP BY edge_id, pos),
 sketch AS (SELECT edge_id, max(n_raw) AS n_raw, list(h ORDER BY pos) AS sig FROM lows GROUP BY edge_id)"""
 

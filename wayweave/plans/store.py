@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in reliable storage (spark.checkpoint.dir; a temporary folder only where that is unset)."""
+    """df, computed once and kept in reliable storage (spark.checkpoint.dir; a temporary folder only in local mode where that is unset)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayweave-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="wayweave-"))
     return df.checkpoint()
 
 
