@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.measures import BYTES_PER_INTEGER, cost
 from ..plans.reports import gather_bytes
 from .mining import Mined, maximal
 from .stitching import Stitched
 
 
+def sketch_first_level(sketches: DataFrame, regions: DataFrame) -> DataFrame:
+    """region_id, integers, n_bytes, cost of the signatures that a region sends: an edge's id, its count and its values."""
+    total = sketches.join(regions, "edge_id").groupBy("region_id").agg(F.sum(2 + F.size("sig")).alias("integers"))
+    n_bytes = F.col("integers") * BYTES_PER_INTEGER
+    return total.select("region_id", "integers", n_bytes.alias("n_bytes"), cost(n_bytes).alias("cost"))
+
+
 def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """JSON length of the list of a group's objects, without gathering it."""
     return rows.groupBy(*keys).agg((F.sum(F.octet_length(F.col("obj_id").cast("string"))) + 2 * (F.count("*") - 1) + 2).alias("n"))

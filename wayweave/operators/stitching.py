@@ -58,11 +58,33 @@ def stitch(mined: Mined, sightings: DataFrame, regions: DataFrame, border: DataF
         "reach", F.expr("size(filter(transform(at, (x, i) -> x = i), ok -> ok))")).where("reach > 0")
     held = reach.select(*_KEY, F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("n")).groupBy(*_KEY, "n").agg(F.count("*").alias("n_objects"))
     passed = held.join(n_common, ["region_a", "region_b"]).withColumn("ratio", F.try_divide("n_objects", "n_common")).where(F.col("ratio") >= threshold)
-    longest = passed.groupBy(*_KEY).agg(F.max(F.struct("n", "n_objects", "ratio")).alias("m"))
+    longest = passed.groupBy(*_KEY).agg(F.max(F.struct("n", "n_objects", "ratio")).alias("m")).select(*_KEY, "m.*")
+    return _assembled(best, pairs, longest)
+
+
+def stitch_sketch(paths: DataFrame, sketches: DataFrame, border: DataFrame, k: int, threshold: float) -> Stitched:
+    """The same on signatures: of p1's surviving values (k at most) those that also survive p2's edges, as a share of k.
+
+    A candidate's signatures are at most its edges times k values.
+    """
+    best = cut(maximal(paths).where("level >= 1"))
+    pairs = cut(candidates(best, border))
+    steps = pairs.select(*_KEY, F.posexplode(F.concat("p1", "p2")).alias("at", "edge_id")).join(small(sketches.select("edge_id", "sig")), "edge_id", "left")
+    listed = steps.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("sig", F.array().cast("array<bigint>")).alias("sig")))).alias("s")).select(*_KEY, F.col("s.sig").alias("sigs"))
+    keep = "filter(a, v -> array_contains(x, v))"
+    start = f"aggregate(slice(sigs, 2, size(p1) - 1), sigs[0], (a, x) -> {keep})"
+    after = f"transform(sequence(1, size(p2)), n -> size(aggregate(slice(sigs, size(p1) + 1, n), start, (a, x) -> {keep})))"
+    left = listed.withColumn("start", F.expr(start)).withColumn("left", F.expr(after))
+    held = left.withColumn("n", F.expr(f"size(filter(left, c -> c / {float(k)!r}D >= {threshold!r}D))")).where("n > 0")  # what survives only falls
+    longest = held.selectExpr(*_KEY, "n", "cast(left[n - 1] as bigint) as n_objects", f"left[n - 1] / {float(k)!r}D as ratio")
+    return _assembled(best, pairs, longest)
+
+
+def _assembled(best: DataFrame, pairs: DataFrame, longest: DataFrame) -> Stitched:
+    """All results of the longest passing prefixes (n edges of p2)."""
     spans = cut(longest.select(
-        *_KEY, F.col("m.n").alias("n_edges"), F.col("m.n_objects").alias("n_objects"), F.col("m.ratio").alias("ratio"),
-        F.concat("p1", F.expr("slice(p2, 1, m.n)")).alias("path"),
-        F.when(F.col("m.n") == F.size("p2"), "span_full").otherwise("span_partial").alias("kind")))
+        *_KEY, F.col("n").alias("n_edges"), "n_objects", "ratio", F.concat("p1", F.expr("slice(p2, 1, n)")).alias("path"),
+        F.when(F.col("n") == F.size("p2"), "span_full").otherwise("span_partial").alias("kind")))
     remainders = spans.where("kind = 'span_partial'").select(*_KEY, F.expr("filter(p2, x -> not array_contains(slice(p2, 1, n_edges), x))").alias("path"))
     absorbed = spans.select("region_b", "p2").distinct()
     by_region = best.groupBy("region_id").agg(F.count("*").alias("own"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.hashing import P, coefficients, premix
-from .queries import HOT, K, LEVELS, PAIRS, PATHS, SEED, SWEEP
+from .queries import HOT, K, LEVELS, OBJECTS, PAIRS, PATHS, SEED, SWEEP
 
 _SIDE = """CASE WHEN x1 <= {s} AND x2 <= {s} THEN 1 WHEN x1 > {s} AND x2 > {s} THEN 2
   WHEN abs(x1 - {s}) >= abs(x2 - {s}) THEN CASE WHEN x1 > x2 THEN 2 ELSE 1 END ELSE CASE WHEN x2 > x1 THEN 2 ELSE 1 END END"""
@@ -101,6 +101,19 @@ _HOTS = """shot AS (SELECT region_id, edge_id, n_raw, estimate, CAST(n_raw AS DO
   WHERE CAST(n_raw AS DOUBLE) / estimate >= {t})"""
 _SPAIRS = f"""spairs AS (SELECT * FROM (SELECT [a.edge_id, b.edge_id] AS path, CAST(len(list_filter(a.sig, lambda x: list_contains(b.sig, x))) AS DOUBLE) / {K} AS ratio
   FROM shot a JOIN conn c ON c.edge_id = a.edge_id JOIN shot b ON b.edge_id = c.succ_id) WHERE ratio >= {PAIRS})"""
+_BOTH = "list_filter({}, lambda x: list_contains({}, x))"
+_SSPANS = f"""shot1 AS (SELECT region_id, edge_id, sig FROM sketch JOIN r1 USING (edge_id) JOIN cohen USING (region_id) WHERE CAST(n_raw AS DOUBLE) / estimate >= {PATHS}),
+stwo AS (SELECT * FROM (SELECT a.region_id, [a.edge_id, b.edge_id] AS path, {_BOTH.format('a.sig', 'b.sig')} AS sig FROM shot1 a JOIN conn c ON c.edge_id = a.edge_id JOIN shot1 b ON b.edge_id = c.succ_id AND b.region_id = a.region_id)
+  WHERE CAST(len(sig) AS DOUBLE) / {K} >= {PATHS}),
+smax AS (SELECT * FROM stwo UNION ALL SELECT region_id, [edge_id], sig FROM shot1 s WHERE NOT EXISTS (SELECT 1 FROM stwo t WHERE t.region_id = s.region_id AND list_contains(t.path, s.edge_id))),
+border AS (SELECT a.region_id AS region_a, b.region_id AS region_b, c.edge_id, c.succ_id FROM conn c JOIN r1 a ON a.edge_id = c.edge_id JOIN r1 b ON b.edge_id = c.succ_id WHERE a.region_id <> b.region_id),
+scand AS (SELECT DISTINCT p.region_id AS region_a, p.path AS p1, q.region_id AS region_b, q.path AS p2, p.sig FROM smax p JOIN border b ON b.region_a = p.region_id AND b.edge_id = p.path[-1]
+  JOIN smax q ON q.region_id = b.region_b AND q.path[1] = b.succ_id),
+sgrow AS (
+  SELECT region_a, p1, region_b, p2, 0 AS i, sig FROM scand
+  UNION ALL
+  SELECT * FROM (SELECT g.region_a, g.p1, g.region_b, g.p2, g.i + 1 AS i, {_BOTH.format('g.sig', 'e.sig')} AS sig FROM sgrow g JOIN sketch e ON e.edge_id = g.p2[g.i + 1] WHERE g.i < len(g.p2)) x WHERE CAST(len(sig) AS DOUBLE) / {K} >= {PATHS}),
+sbest AS (SELECT region_a, p1, region_b, p2, max(i) AS i, CAST(arg_max(len(sig), i) AS BIGINT) AS n_objects FROM sgrow WHERE i > 0 GROUP BY ALL)"""
 _CODE = "CASE WHEN length({0}) < 3 THEN lpad({0}, 3, '0') ELSE {0} END"
 _PAIRCODE = f"{_CODE.format('CAST(path[1] AS VARCHAR)')} || '000' || {_CODE.format('CAST(path[2] AS VARCHAR)')}"
 _BR = "'[' || array_to_string(path, ',') || ']'"
@@ -141,6 +154,18 @@ CAST(count(DISTINCT obj_id) AS DOUBLE) / count(DISTINCT edge_id) AS objects_per_
                                    body="SELECT a.region_id AS region_a, b.region_id AS region_b, count(*) AS n_common FROM o a JOIN o b ON a.obj_id = b.obj_id AND a.region_id <> b.region_id GROUP BY ALL"),
     "span_candidates": _with(GRID, SPANS, body=f"SELECT region_a, {_S('p1')} AS p1, region_b, {_S('p2')} AS p2 FROM cand"),
     "span_paths": _with(GRID, SPANS, body=f"SELECT region_a, region_b, {_S('p1')} AS p1, {_S('p2')} AS p2, kind, n_objects, ratio, {_S('path')} AS path FROM spans"),
+    "span_paths_sketch": _with(GRID, SKETCH, _cohen("r1"), _SSPANS, body=f"""SELECT region_a, region_b, {_S('p1')} AS p1, {_S('p2')} AS p2, CASE WHEN i = len(p2) THEN 'span_full' ELSE 'span_partial' END AS kind,
+  n_objects, CAST(n_objects AS DOUBLE) / {K} AS ratio, array_to_string(list_concat(p1, p2[:i]), ',') AS path FROM sbest"""),
+    "object_sweep": _with(GRID, f"""firsts AS (SELECT obj_id, dense_rank() OVER (ORDER BY obj_id) AS nth FROM seen),
+picked AS (SELECT DISTINCT objects, edge_id, obj_id FROM seen JOIN firsts USING (obj_id), (SELECT unnest({OBJECTS}) AS objects) WHERE nth <= objects),
+totals AS (SELECT objects, count(DISTINCT obj_id) AS n FROM picked JOIN edges USING (edge_id) GROUP BY objects),
+ratios AS (SELECT objects, edge_id, CAST(count(*) AS DOUBLE) / n AS ratio FROM picked JOIN edges USING (edge_id) JOIN totals USING (objects) GROUP BY objects, edge_id, n)""",
+                          body="SELECT CAST(objects AS INTEGER) AS objects, threshold, 10 AS region_id, 1 AS level, count(*) AS n_paths FROM ratios, (SELECT unnest([0.15::DOUBLE, 0.30::DOUBLE]) AS threshold) WHERE ratio >= threshold GROUP BY objects, threshold"),
+    "level_reached": _with(GRID, REG, body="SELECT region_id, max(level) AS greatest_level FROM m GROUP BY region_id"),
+    "sketch_first_level_bytes": _with(GRID, SKETCH, body="SELECT region_id, CAST(sum(2 + len(sig)) AS BIGINT) AS integers, CAST(sum(2 + len(sig)) * 4 AS BIGINT) AS n_bytes, round(sum(2 + len(sig)) * 4 * 0.0001::DOUBLE, 4) AS cost FROM sketch JOIN r2 USING (edge_id) GROUP BY region_id"),
+    "numbered_edges": _with(GRID, body="SELECT edge_id AS old_id, row_number() OVER (ORDER BY src, dst, edge_id) + 2 + CASE WHEN row_number() OVER (ORDER BY src, dst, edge_id) + 2 >= 112 THEN 1 ELSE 0 END AS edge_id FROM edges"),
+    "scaled_nodes": _with(GRID, body="SELECT DISTINCT src AS node_id, CAST(x1 * 100000000 AS BIGINT) AS x, CAST(y1 * 100000000 AS BIGINT) AS y FROM edges"),
+    "connections_skipping_first": _with(GRID, body="SELECT * FROM conn WHERE succ_id <> (SELECT min(edge_id) FROM edges)"),
     "span_remainders": _with(GRID, SPANS, body=f"SELECT region_a, region_b, {_S('p1')} AS p1, {_S('p2')} AS p2, {_S('path')} AS path FROM remainders"),
     "absorbed_paths": _with(GRID, SPANS, body=f"SELECT DISTINCT region_b, {_S('p2')} AS p2 FROM spans"),
     "path_catalog_counts": _with(GRID, SPANS, body="""SELECT kind, count(*) AS n_entries FROM (

@@ -16,6 +16,7 @@ from .store import cut
 HOT, PATHS, PAIRS, LEVELS = 0.50, 0.10, 0.25, 4
 K, SEED = 32, 1
 SWEEP = [0.10, 0.15, 0.25, 0.30]
+OBJECTS = [10, 50]
 
 
 def _path(c: str = "path"):
@@ -155,6 +156,35 @@ def span_paths(spark, d):
     return _stitched(spark, d).spans.select("region_a", "region_b", _path("p1"), _path("p2"), "kind", "n_objects", "ratio", _path("path"))
 
 
+def span_paths_sketch(spark, d):
+    found = sweep.run(fx.grid_edges(spark), fx.grid_sightings(spark, d), sweep.RunConfig(PATHS, 1, 2, K, SEED)).stitched.spans
+    return found.select("region_a", "region_b", _path("p1"), _path("p2"), "kind", "n_objects", "ratio", _path("path"))
+
+
+def object_sweep(spark, d):
+    return sweep.object_sweep(fx.grid_edges(spark), fx.grid_sightings(spark, d), [0.15, 0.30], OBJECTS, 0, 1)
+
+
+def level_reached(spark, d):
+    return _mined(spark, d, 1).paths.groupBy("region_id").agg(F.max("level").alias("greatest_level"))
+
+
+def sketch_first_level_bytes(spark, d):
+    return costs.sketch_first_level(_sketches(spark, d), _regions(spark, 2))
+
+
+def numbered_edges(spark, d):
+    return network.number_edges(fx.grid_edges(spark).select(F.col("edge_id").alias("old_id"), "src", "dst"), ["src", "dst", "old_id"]).select("old_id", "edge_id")
+
+
+def scaled_nodes(spark, d):
+    return network.scaled(network.nodes_of(fx.grid_edges(spark)))
+
+
+def connections_skipping_first(spark, d):
+    return network.connections(fx.grid_edges(spark), compat_skip_first_edge=True)
+
+
 def span_remainders(spark, d):
     return _stitched(spark, d).remainders.select("region_a", "region_b", _path("p1"), _path("p2"), _path("path"))
 
@@ -268,7 +298,8 @@ def live_edge_counts(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     hot_edges, lane_hot_edges, lane_connections, lane_paths, connections, edge_weights, edge_midpoints, rotate_nodes, central_topk, grid_motions,
     sightings_by_edge, partition_d0, partition_d1, partition_d2, regional_connections, borders, region_objects, pairs, triples, paths_all, paths_maximal,
-    paths_by_level, region_paths, region_ready, distinct_path_edges, region_common_objects, span_candidates, span_paths, span_remainders, absorbed_paths,
+    paths_by_level, region_paths, region_ready, distinct_path_edges, region_common_objects, span_candidates, span_paths, span_paths_sketch, span_remainders, absorbed_paths,
     path_catalog_counts, span_counts, minhash_signatures, cohen_by_region, union_signature, hot_edges_sketch, pairs_sketch, hot_edges_override, sketch_accuracy,
-    first_level_bytes, gather_bytes, message_bytes, compression_ratio, permutation_search, path_log_lines, pair_codes, pair_report, threshold_sweep, simulated_motions, live_edge_counts,
+    first_level_bytes, gather_bytes, message_bytes, compression_ratio, permutation_search, path_log_lines, pair_codes, pair_report, threshold_sweep, object_sweep, level_reached, sketch_first_level_bytes, numbered_edges, scaled_nodes, connections_skipping_first,
+    simulated_motions, live_edge_counts,
 )}
