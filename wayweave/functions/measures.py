@@ -19,6 +19,11 @@ def cost(n_bytes: str | Column) -> Column:
     return F.round((F.col(n_bytes) if isinstance(n_bytes, str) else n_bytes) * COST_PER_BYTE, 4)
 
 
+def cost_text(n_bytes: str | Column) -> Column:
+    """The cost with one to four decimals, never with an exponent."""
+    return F.regexp_replace(cost(n_bytes).cast("decimal(30,4)").cast("string"), "0{1,3}$", "")
+
+
 def bracketed(array: str | Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(F.col(array) if isinstance(array, str) else array, lambda x: x.cast("string")), ","), F.lit("]"))
 

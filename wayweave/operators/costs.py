@@ -10,6 +10,19 @@ from .mining import Mined, maximal
 from .stitching import Stitched
 
 
+def first_level(sightings: DataFrame, regions: DataFrame) -> DataFrame:
+    """region_id, integers, n_bytes, cost of what a region's edges send to it: an edge's id and its objects."""
+    total = sightings.join(regions, "edge_id").groupBy("region_id").agg((F.countDistinct("edge_id") + F.countDistinct("edge_id", "obj_id")).alias("integers"))
+    n_bytes = F.col("integers") * BYTES_PER_INTEGER
+    return total.select("region_id", "integers", n_bytes.alias("n_bytes"), cost(n_bytes).alias("cost"))
+
+
+def gathered(per_region: DataFrame, ready: DataFrame) -> DataFrame:
+    """n_regions, integers, n_bytes, in total, of the regions that have a path: what the coordinator asks of them alone."""
+    own = per_region.join(ready.select("region_id").distinct(), "region_id", "left_semi")
+    return own.agg(F.count("*").alias("n_regions"), F.coalesce(F.sum("integers"), F.lit(0)).alias("integers"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"))
+
+
 def sketch_first_level(sketches: DataFrame, regions: DataFrame) -> DataFrame:
     """region_id, integers, n_bytes, cost of the signatures that a region sends: an edge's id, its count and its values."""
     total = sketches.join(regions, "edge_id").groupBy("region_id").agg(F.sum(2 + F.size("sig")).alias("integers"))

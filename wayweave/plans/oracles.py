@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.hashing import P, coefficients, premix
-from .queries import HOT, K, LEVELS, OBJECTS, PAIRS, PATHS, SEED, SWEEP
+from .queries import HOT, K, LEVELS, OBJECTS, PAIRS, PATHS, SEED, STREET, SWEEP, TARGETS
 
 _SIDE = """CASE WHEN x1 <= {s} AND x2 <= {s} THEN 1 WHEN x1 > {s} AND x2 > {s} THEN 2
   WHEN abs(x1 - {s}) >= abs(x2 - {s}) THEN CASE WHEN x1 > x2 THEN 2 ELSE 1 END ELSE CASE WHEN x2 > x1 THEN 2 ELSE 1 END END"""
@@ -118,6 +118,58 @@ _CODE = "CASE WHEN length({0}) < 3 THEN lpad({0}, 3, '0') ELSE {0} END"
 _PAIRCODE = f"{_CODE.format('CAST(path[1] AS VARCHAR)')} || '000' || {_CODE.format('CAST(path[2] AS VARCHAR)')}"
 _BR = "'[' || array_to_string(path, ',') || ']'"
 
+_PARTS = """
+s1 AS (SELECT *, {mid} AS mid FROM (SELECT *, 0 AS part FROM streets)), p1 AS (SELECT edge_id, x1, x2, {side} AS part FROM s1),
+s2 AS (SELECT *, {mid} AS mid FROM p1), sr AS (SELECT edge_id, CAST((part * 10 + {side}) * 10 + 2 AS INTEGER) AS region_id FROM s2)""".format(mid=_MID, side=_SIDE.format(s="mid"))
+STREETS = """
+width AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM part),
+streets AS (SELECT 2 * src + up + 3 AS edge_id, src, dst, src % w * 100 AS x1, src // w * 100 AS y1, (src % w + 1 - up) * 100 AS x2, (src // w + up) * 100 AS y2
+  FROM (SELECT w, up, p_partkey AS src, p_partkey + CASE up WHEN 0 THEN 1 ELSE w END AS dst FROM part, width, (SELECT unnest([0, 1]) AS up))
+  WHERE src % w + 1 - up < w AND dst IN (SELECT p_partkey FROM part)),
+street_conn AS (SELECT a.edge_id, b.edge_id AS succ_id FROM streets a JOIN streets b ON a.dst = b.src),
+street_seen AS (SELECT DISTINCT edge_id, l_suppkey AS obj_id FROM lineitem JOIN streets ON l_partkey = src),""" + _PARTS
+STREET_PATHS = _mine("m", "sr", STREET, 2, "street_seen", "street_conn")
+
+
+def _lines(paths: str, regions: str, t: float, costs: bool = False) -> str:
+    """Statement of the log lines of all regions."""
+    front = "CAST(n_bytes AS VARCHAR) || ',' || CAST(round(n_bytes * 0.0001::DOUBLE, 4) AS VARCHAR) || ',' || " if costs else ""
+    return f"""SELECT region_id, {front}n_objects || ',{t},100,-1,-1,' || region_id || ',' || coalesce(string_agg({_BR}, ',' ORDER BY {_BR}), '[0]') AS line
+FROM (SELECT region_id, count(DISTINCT obj_id) AS n_objects, 4 * (count(DISTINCT edge_id) + count(*)) AS n_bytes FROM seen JOIN {regions} USING (edge_id) GROUP BY region_id)
+LEFT JOIN ({paths}) USING (region_id) GROUP BY region_id, n_objects, n_bytes"""
+
+
+_SENT = """lines AS (SELECT region_id, level, length('[' || array_to_string(path, ', ') || ']') AS n
+  FROM (SELECT region_id, level, path FROM m_max UNION ALL SELECT region_id, 0, path FROM m WHERE level = 1)),
+levels AS (SELECT region_id, level, sum(n) + 2 * (count(*) - 1) + 2 + length(CAST(level AS VARCHAR)) + 4 AS n FROM lines GROUP BY region_id, level),
+sent AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS sent FROM (SELECT sum(n) + 2 * (count(*) - 1) + 2 AS n FROM levels GROUP BY region_id)),
+firsts AS (SELECT CAST(coalesce(4 * sum(n), 0) AS BIGINT) AS first_bytes FROM (SELECT count(DISTINCT edge_id) + count(*) AS n FROM m_own WHERE region_id IN (SELECT region_id FROM m) GROUP BY region_id))"""
+_HEAD = f"(SELECT count(DISTINCT obj_id) FROM seen) || ',' || sent || ',' || first_bytes || ',{PATHS},100,-1,-1,0'"
+_JSON = "'[' || array_to_string(path, ', ') || '],'"
+_MANY = 64
+
+
+def _targets() -> str:
+    """picks: target, k of the search for TARGETS (two, falling) over the first _MANY lengths; then hot edges and pairs on those signatures."""
+    high, low = TARGETS
+    hashes = "[" + ", ".join(f"({a} * m + {b}) % {P}" for a, b in coefficients(_MANY, SEED)) + "]"
+    return f"""
+hashed AS (SELECT edge_id, unnest({hashes}) AS h, unnest(range({_MANY})) AS pos FROM (SELECT edge_id, {premix('obj_id', '//')} AS m FROM seen)),
+lows AS (SELECT edge_id, pos, min(h) AS h, count(*) AS n_raw FROM hashed GROUP BY edge_id, pos),
+raw AS (SELECT sum(n) AS raw_bytes FROM (SELECT length(CAST(edge_id AS VARCHAR)) + sum(length(CAST(obj_id AS VARCHAR)) + 1) + 1 AS n FROM seen GROUP BY edge_id)),
+fixed AS (SELECT sum(length(CAST(edge_id AS VARCHAR)) + length(CAST(n_raw AS VARCHAR)) + 2) AS f FROM lows WHERE pos = 0),
+bytes AS (SELECT CAST(pos + 1 AS INTEGER) AS k, CAST(raw_bytes AS DOUBLE) / (f + sum(n) OVER (ORDER BY pos)) AS ratio FROM (SELECT pos, sum(length(CAST(h AS VARCHAR)) + 1) AS n FROM lows GROUP BY pos), fixed, raw),
+pick1 AS (SELECT k, ratio >= {high * 0.9} AS ok FROM bytes WHERE ratio <= {high} * 1.1::DOUBLE ORDER BY k LIMIT 1),
+pick2 AS (SELECT k, ratio >= {low * 0.9} AS ok FROM bytes WHERE ratio <= {low} * 1.1::DOUBLE AND k >= (SELECT CASE WHEN ok THEN k + 1 ELSE k END FROM pick1) ORDER BY k LIMIT 1),
+picks AS (SELECT {high}::DOUBLE AS target, k FROM pick1 WHERE ok UNION ALL SELECT {low}::DOUBLE, k FROM pick2 WHERE ok),
+sizes AS (SELECT target, k, CAST(trunc(CAST(k AS DOUBLE) / (sum(h) / CAST({P} AS DOUBLE)) - 1) AS BIGINT) AS estimate
+  FROM (SELECT target, k, pos, min(h) AS h FROM picks JOIN lows ON pos < k GROUP BY target, k, pos) GROUP BY target, k),
+given AS (SELECT unnest([{PAIRS}::DOUBLE, {HOT}::DOUBLE]) AS threshold),
+warm AS (SELECT threshold, target, k, edge_id, list(h ORDER BY pos) AS sig FROM sizes JOIN lows ON pos < k, given GROUP BY threshold, target, k, estimate, edge_id
+  HAVING CAST(max(n_raw) AS DOUBLE) / nullif(estimate, 0) >= threshold),
+two AS (SELECT threshold, target, k, CAST(len({_BOTH.format('a.sig', 'b.sig')}) AS DOUBLE) / k AS ratio FROM warm a JOIN conn c USING (edge_id) JOIN warm b USING (threshold, target, k) WHERE b.edge_id = c.succ_id)"""
+
+
 ORACLES = {
     "hot_edges": _with(GRID, _mine("m", "r0", HOT, 1), body="SELECT path[1] AS edge_id, support, CAST(n AS BIGINT) AS n_objects, ratio FROM m JOIN m_tot USING (region_id)"),
     "lane_hot_edges": _with(LANES, _mine("m", "lane_region", 0.6, 1, "lane_seen", "lane_conn"), body="SELECT path[1] AS edge_id, support, CAST(n AS BIGINT) AS n_objects, ratio FROM m JOIN m_tot USING (region_id)"),
@@ -200,8 +252,44 @@ msgs AS (
 fixed AS (SELECT sum(length(CAST(edge_id AS VARCHAR)) + length(CAST(n_raw AS VARCHAR)) + 2) AS f FROM sketch),
 bytes AS (SELECT CAST(pos + 1 AS INTEGER) AS k, CAST(f + sum(n) OVER (ORDER BY pos) AS BIGINT) AS hashed_bytes FROM (SELECT pos, sum(length(CAST(h AS VARCHAR)) + 1) AS n FROM lows GROUP BY pos), fixed)""",
                                body="SELECT k, hashed_bytes, CAST(raw_bytes AS DOUBLE) / hashed_bytes AS ratio FROM bytes, raw"),
-    "path_log_lines": _with(GRID, REG, _maximal("m"), body=f"""SELECT region_id, (SELECT CAST(count(DISTINCT obj_id) AS VARCHAR) FROM seen) || ',{PATHS},100,-1,-1,' || region_id || ',' || string_agg({_BR}, ',' ORDER BY {_BR}) AS line
-FROM m_max GROUP BY region_id"""),
+    "path_log_lines": _with(GRID, REG, _maximal("m"), body=_lines("SELECT region_id, path FROM m_max", "r1", PATHS)),
+    "path_log_rows": _with(GRID, REG, _maximal("m"), body=f"""SELECT n_objects, {PATHS}::DOUBLE AS threshold, 100 AS edges, -1 AS k, -1 AS compress, region_id, {_S('path')} AS path
+FROM (SELECT region_id, count(DISTINCT obj_id) AS n_objects FROM seen JOIN r1 USING (edge_id) GROUP BY region_id) LEFT JOIN m_max USING (region_id)"""),
+    "single_log_lines": _with(GRID, _mine("m", "r2", HOT, 1), body=_lines("SELECT region_id, path FROM m", "r2", HOT)),
+    "pair_log_lines": _with(GRID, _mine("m", "r1", PATHS, 2), body=_lines("SELECT region_id, path FROM m WHERE level = 2", "r1", PATHS)),
+    "longer_log_lines": _with(GRID, REG, _maximal("m"), body=_lines("SELECT region_id, path FROM m_max WHERE level >= 2", "r1", PATHS)),
+    "cost_log_lines": _with(GRID, REG, _maximal("m"), body=_lines("SELECT region_id, path FROM m_max", "r1", PATHS, True)),
+    "info_log_lines": _with(GRID, body=f"""SELECT region_id, '4_1. 100,' || n || ',' || CAST(CAST(n AS DOUBLE) / 100 AS VARCHAR) || ',{HOT}' AS line
+FROM (SELECT region_id, count(DISTINCT obj_id) AS n FROM seen JOIN r2 USING (edge_id) GROUP BY region_id)"""),
+    "seed_log_line": _with(GRID, SPANS, body=f"""SELECT '{SEED};' || (SELECT count(DISTINCT obj_id) FROM seen) || ',{PATHS},100,-1,-1,0' || coalesce(',' || string_agg({_BR}, ',' ORDER BY {_BR}), '') AS line
+FROM (SELECT DISTINCT path FROM spans)"""),
+    "span_cost_line": _with(GRID, SPANS, _SENT, body=f"SELECT {_HEAD} || coalesce(',' || (SELECT string_agg({_BR}, ',' ORDER BY {_BR}) FROM (SELECT DISTINCT path FROM spans)), '') AS line FROM sent, firsts"),
+    "edge_cost_line": _with(GRID, REG, _maximal("m"), _SENT, body=f"""SELECT {_HEAD} || ',[' || coalesce((SELECT string_agg(CAST(e AS VARCHAR), ',' ORDER BY e) FROM (SELECT DISTINCT unnest(path) AS e FROM m_max)), '') || ']' AS line
+FROM sent, firsts"""),
+    "result_report": _with(GRID, SPANS, f"""entries AS (SELECT region_a AS a, region_b AS b, path, kind FROM spans UNION SELECT region_b, region_b, path, 'remainder' FROM remainders
+  UNION SELECT region_b, region_b, p2, 'absorbed' FROM spans UNION SELECT region_id, region_id, path, 'local' FROM local),
+listed AS (SELECT a, b, '    ' || b || ': ' || string_agg(t, '' ORDER BY t) AS line FROM (SELECT DISTINCT a, b, {_JSON} AS t FROM entries WHERE kind <> 'absorbed') GROUP BY a, b
+  UNION ALL SELECT DISTINCT a, NULL, CAST(a AS VARCHAR) FROM entries WHERE kind <> 'absorbed'),
+top AS (SELECT unnest(range(6)) AS line_no, unnest(['TOP LEADER', 'Total number of Span-HoMoPaths: ' || (SELECT count(DISTINCT (a, b, path)) FROM entries WHERE kind LIKE 'span%'),
+  'Total number of HoMoPaths : ' || (SELECT count(DISTINCT (a, b, path)) FROM entries), 'HoMoPaths Span Regions : ', 'Exec Time : 0.0', 'Threshold: {PATHS} , Compress:-1']) AS line)""",
+                           body="SELECT CAST(line_no AS INTEGER) AS line_no, line FROM top UNION ALL SELECT CAST(row_number() OVER (ORDER BY a, b NULLS FIRST) + 5 AS INTEGER), line FROM listed"),
+    "gathered_first_level": _with(GRID, _mine("m", "r2", HOT, 1), body="""SELECT count(*) AS n_regions, CAST(coalesce(sum(n), 0) AS BIGINT) AS integers, CAST(coalesce(4 * sum(n), 0) AS BIGINT) AS n_bytes FROM (
+SELECT count(DISTINCT edge_id) + count(*) AS n FROM m_own WHERE region_id IN (SELECT region_id FROM m) GROUP BY region_id)"""),
+    "gathered_sketch_level": _with(GRID, SKETCH, _cohen("r2"), f"""ready AS (SELECT DISTINCT region_id FROM sketch JOIN r2 USING (edge_id) JOIN cohen USING (region_id) WHERE CAST(n_raw AS DOUBLE) / estimate >= {HOT})""",
+                                   body="""SELECT count(*) AS n_regions, CAST(coalesce(sum(n), 0) AS BIGINT) AS integers, CAST(coalesce(4 * sum(n), 0) AS BIGINT) AS n_bytes FROM (
+SELECT sum(2 + len(sig)) AS n FROM sketch JOIN r2 USING (edge_id) WHERE region_id IN (SELECT region_id FROM ready) GROUP BY region_id)"""),
+    "target_sweep": _with(GRID, TWO, _targets(), body=f"""SELECT threshold, -1::DOUBLE AS target, -1 AS k, region_id, level, count(*) AS n_paths FROM m, given WHERE ratio >= threshold GROUP BY ALL
+UNION ALL SELECT threshold, target, k, 10, 1, count(*) FROM warm GROUP BY ALL UNION ALL SELECT threshold, target, k, 10, 2, count(*) FROM two WHERE ratio >= threshold GROUP BY ALL"""),
+    "street_edges": _with(STREETS, body="SELECT * FROM streets"),
+    "street_connections": _with(STREETS, body="SELECT * FROM street_conn"),
+    "street_weights": _with(STREETS, """b AS (SELECT min(least(x1, x2)) AS ax, max(greatest(x1, x2)) AS bx, min(least(y1, y2)) AS ay, max(greatest(y1, y2)) AS yy FROM streets),
+far AS (SELECT edge_id, greatest(abs((x1 + x2) / 2 - (ax + bx) / 2) / (bx - ax), abs((y1 + y2) / 2 - (ay + yy) / 2) / (yy - ay)) AS f FROM streets, b)""",
+                            body="SELECT edge_id, CASE WHEN f <= 0.2 THEN 3 WHEN f <= 0.4 THEN 2 WHEN f <= 0.6 THEN 1 ELSE 0 END AS weight FROM far"),
+    "street_regions": _with(STREETS, body="SELECT * FROM sr"),
+    "street_borders": _with(STREETS, body="""SELECT a.region_id AS region_a, b.region_id AS region_b, c.edge_id, c.succ_id FROM street_conn c JOIN sr a ON a.edge_id = c.edge_id
+JOIN sr b ON b.edge_id = c.succ_id WHERE a.region_id <> b.region_id"""),
+    "street_hot_edges": _with(STREETS, STREET_PATHS, body="SELECT region_id, path[1] AS edge_id, support, CAST(n AS BIGINT) AS n_objects, ratio FROM m JOIN m_tot USING (region_id) WHERE level = 1"),
+    "street_pairs": _with(STREETS, STREET_PATHS, body=f"SELECT region_id, level, {_S('path')} AS path, support, ratio FROM m"),
     "pair_codes": _with(GRID, TWO, body=f"SELECT {_S('path')} AS path, {_PAIRCODE} AS code FROM m WHERE level = 2"),
     "pair_report": _with(GRID, TWO, f"""two AS (SELECT threshold, {_BR} AS pair, {_PAIRCODE} AS code FROM m, (SELECT unnest([0.25::DOUBLE, 0.28::DOUBLE]) AS threshold) WHERE level = 2 AND ratio >= threshold),
 codes AS (SELECT threshold, '[' || string_agg(code, ',' ORDER BY pair) || ']' AS codes FROM two GROUP BY threshold)""",

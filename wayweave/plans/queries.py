@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.measures import BYTES_PER_INTEGER, bracketed, cost, pair_code
+from ..functions.measures import bracketed, pair_code
 from ..operators import costs, mining, motions, network, regions as rg, sketches as sk, stitching
 from ..sources import fixtures as fx
 from ..streaming import live
@@ -17,6 +17,8 @@ HOT, PATHS, PAIRS, LEVELS = 0.50, 0.10, 0.25, 4
 K, SEED = 32, 1
 SWEEP = [0.10, 0.15, 0.25, 0.30]
 OBJECTS = [10, 50]
+TARGETS = [16.0, 8.0]
+STREET = 0.06
 
 
 def _path(c: str = "path"):
@@ -238,14 +240,26 @@ def sketch_accuracy(spark, d):
 
 
 def first_level_bytes(spark, d):
-    own = fx.grid_sightings(spark, d).join(_regions(spark, 2), "edge_id")
-    return own.groupBy("region_id").agg((F.countDistinct("edge_id") + F.count("*")).alias("integers")).select(
-        "region_id", "integers", (F.col("integers") * BYTES_PER_INTEGER).alias("n_bytes"), cost(F.col("integers") * BYTES_PER_INTEGER).alias("cost"))
+    return costs.first_level(fx.grid_sightings(spark, d), _regions(spark, 2))
+
+
+def gathered_first_level(spark, d):
+    seen, regions = fx.grid_sightings(spark, d), _regions(spark, 2)
+    return costs.gathered(costs.first_level(seen, regions), mining.hot_edges(seen, regions, HOT))
+
+
+def gathered_sketch_level(spark, d):
+    regions, sketches = _regions(spark, 2), _sketches(spark, d)
+    return costs.gathered(costs.sketch_first_level(sketches, regions), sk.hot_edges_sketch(sketches, regions, K, HOT))
+
+
+def _gathered_paths(paths: DataFrame) -> DataFrame:
+    paths = paths.select("region_id", "level", "path")
+    return mining.maximal(paths).unionByName(paths.where("level = 1").withColumn("level", F.lit(0)))
 
 
 def gather_bytes(spark, d):
-    paths = _mined(spark, d, 1).paths.select("region_id", "level", "path")
-    return reports.gather_bytes(mining.maximal(paths).unionByName(paths.where("level = 1").withColumn("level", F.lit(0))))
+    return reports.gather_bytes(_gathered_paths(_mined(spark, d, 1).paths))
 
 
 def message_bytes(spark, d):
@@ -264,10 +278,102 @@ def permutation_search(spark, d):
     return spark.createDataFrame(sk.signature_lengths(seen, [256.0, 128.0, 64.0, 32.0, 16.0, 8.0, 4.0, 2.0], SEED), "target double, k long, ratio double")
 
 
+def _heads(spark, d, depth: int) -> DataFrame:
+    seen, regions = fx.grid_sightings(spark, d), _regions(spark, depth)
+    return mining.region_objects(seen, regions).join(costs.first_level(seen, regions), "region_id")
+
+
 def path_log_lines(spark, d):
-    seen = fx.grid_sightings(spark, d)
-    best = mining.maximal(_mined(spark, d, 1).paths)
-    return reports.path_lines(best, seen.select("obj_id").distinct().count(), PATHS, 100)
+    return reports.path_lines(mining.maximal(_mined(spark, d, 1).paths), _heads(spark, d, 1), PATHS, 100)
+
+
+def path_log_rows(spark, d):
+    rows = reports.path_rows(mining.maximal(_mined(spark, d, 1).paths), _heads(spark, d, 1), PATHS, 100)
+    return rows.select("n_objects", "threshold", "edges", "k", "compress", "region_id", _path())
+
+
+def single_log_lines(spark, d):
+    return reports.path_lines(_mined(spark, d, 2, HOT, 1).paths, _heads(spark, d, 2), HOT, 100)
+
+
+def pair_log_lines(spark, d):
+    return reports.path_lines(_mined(spark, d, 1, PATHS, 2).paths.where("level = 2"), _heads(spark, d, 1), PATHS, 100)
+
+
+def longer_log_lines(spark, d):
+    return reports.path_lines(mining.maximal(_mined(spark, d, 1).paths).where("level >= 2"), _heads(spark, d, 1), PATHS, 100)
+
+
+def cost_log_lines(spark, d):
+    return reports.path_lines(mining.maximal(_mined(spark, d, 1).paths), _heads(spark, d, 1), PATHS, 100, with_costs=True)
+
+
+def info_log_lines(spark, d):
+    return reports.info_lines(_heads(spark, d, 2), HOT, 100)
+
+
+def seed_log_line(spark, d):
+    n = fx.grid_sightings(spark, d).select("obj_id").distinct().count()
+    return reports.span_lines(_stitched(spark, d).spans, [n, PATHS, 100, -1, -1], SEED)
+
+
+def _cost_head(spark, d) -> list:
+    """N, bytes gathered, first-level bytes, threshold, edges, k, compress of the run at depth 1."""
+    seen, regions = fx.grid_sightings(spark, d), _regions(spark, 1)
+    mined = _mined(spark, d, 1)
+    sent = reports.gather_bytes(_gathered_paths(mined.paths)).agg(F.sum("n_bytes")).first()[0] or 0
+    first = costs.gathered(costs.first_level(seen, regions), mined.paths).first().n_bytes
+    return [seen.select("obj_id").distinct().count(), sent, first, PATHS, 100, -1, -1]
+
+
+def span_cost_line(spark, d):
+    return reports.span_lines(_stitched(spark, d).spans, _cost_head(spark, d))
+
+
+def edge_cost_line(spark, d):
+    return reports.edge_lines(mining.maximal(_mined(spark, d, 1).paths), _cost_head(spark, d))
+
+
+def result_report(spark, d):
+    return reports.result_report(stitching.catalog(_stitched(spark, d)), PATHS)
+
+
+def target_sweep(spark, d):
+    return sweep.sweep(fx.grid_edges(spark), fx.grid_sightings(spark, d), [PAIRS, HOT], TARGETS, 0, 2, 64, SEED)
+
+
+def _street_regions(spark, d) -> DataFrame:
+    return rg.edge_region(rg.partition(fx.street_edges(spark, d), 2))
+
+
+def street_edges(spark, d):
+    return fx.street_edges(spark, d)
+
+
+def street_connections(spark, d):
+    return network.connections(fx.street_edges(spark, d))
+
+
+def street_weights(spark, d):
+    return network.edge_weights(fx.street_edges(spark, d))
+
+
+def street_regions(spark, d):
+    return _street_regions(spark, d)
+
+
+def street_borders(spark, d):
+    return rg.borders(network.connections(fx.street_edges(spark, d)), _street_regions(spark, d))
+
+
+def street_hot_edges(spark, d):
+    return mining.hot_edges(fx.street_sightings(spark, d), _street_regions(spark, d), STREET).select("region_id", "edge_id", "support", "n_objects", "ratio")
+
+
+def street_pairs(spark, d):
+    edges = fx.street_edges(spark, d)
+    found = mining.mine(fx.street_sightings(spark, d), _street_regions(spark, d), network.connections(edges), STREET, 2).paths
+    return found.select("region_id", "level", _path(), "support", "ratio")
 
 
 def pair_codes(spark, d):
@@ -300,6 +406,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     sightings_by_edge, partition_d0, partition_d1, partition_d2, regional_connections, borders, region_objects, pairs, triples, paths_all, paths_maximal,
     paths_by_level, region_paths, region_ready, distinct_path_edges, region_common_objects, span_candidates, span_paths, span_paths_sketch, span_remainders, absorbed_paths,
     path_catalog_counts, span_counts, minhash_signatures, cohen_by_region, union_signature, hot_edges_sketch, pairs_sketch, hot_edges_override, sketch_accuracy,
-    first_level_bytes, gather_bytes, message_bytes, compression_ratio, permutation_search, path_log_lines, pair_codes, pair_report, threshold_sweep, object_sweep, level_reached, sketch_first_level_bytes, numbered_edges, scaled_nodes, connections_skipping_first,
+    first_level_bytes, gathered_first_level, gathered_sketch_level, gather_bytes, message_bytes, compression_ratio, permutation_search, path_log_lines, path_log_rows, single_log_lines,
+    pair_log_lines, longer_log_lines, cost_log_lines, info_log_lines, seed_log_line, span_cost_line, edge_cost_line, result_report, pair_codes, pair_report, threshold_sweep,
+    target_sweep, object_sweep, level_reached, sketch_first_level_bytes, numbered_edges, scaled_nodes, connections_skipping_first,
+    street_edges, street_connections, street_weights, street_regions, street_borders, street_hot_edges, street_pairs,
     simulated_motions, live_edge_counts,
 )}

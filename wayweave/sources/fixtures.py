@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Node steps of the four edges that leave a node of the 5 x 5 torus.
@@ -55,3 +57,22 @@ def lane_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = (lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
               .join(customers, F.col("o_custkey") == F.col("c_custkey")))
     return joined.select((5 * F.col("sr") + F.col("cr") + 3).alias("edge_id"), F.col("l_partkey").alias("obj_id")).distinct()
+
+
+def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice with a node for each part and edges to its right and upper neighbours, so that it grows with the tables: edge_id, src, dst, x1, y1, x2, y2."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    side = math.isqrt(max(parts.count() - 1, 0)) + 1
+    column, row = F.col("src") % side, F.floor(F.col("src") / side)
+    ends = parts.select("src", column.alias("c"), row.alias("r"), F.explode(F.array(
+        F.struct((column + 1).alias("c2"), row.alias("r2"), F.lit(0).alias("up"), (F.col("src") + 1).alias("dst")),
+        F.struct(column.alias("c2"), (row + 1).alias("r2"), F.lit(1).alias("up"), (F.col("src") + side).alias("dst")))).alias("e")).select("src", "c", "r", "e.*")
+    inside = ends.where(F.col("c2") < side).join(parts.select(F.col("src").alias("dst")), "dst", "left_semi")
+    return inside.select((2 * F.col("src") + F.col("up") + 3).alias("edge_id"), "src", "dst", (F.col("c") * 100).alias("x1"), (F.col("r") * 100).alias("y1"),
+                         (F.col("c2") * 100).alias("x2"), (F.col("r2") * 100).alias("y2"))
+
+
+def street_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers on the streets that leave the parts they shipped."""
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("obj_id")).distinct()
+    return lines.join(street_edges(spark, sf_dir).select("edge_id", "src"), F.col("l_partkey") == F.col("src")).select("edge_id", "obj_id")
